@@ -73,7 +73,7 @@ def run_state(aggregated: DataFrame) -> DataFrame:
     )
     zone_free = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("completed_at", "started_at")]
     seconds = (zone_free[0] - zone_free[1]) / F.lit(1_000_000.0)
-    return state.withColumn("duration_seconds", F.greatest(seconds, F.lit(0.0)))
+    return state.withColumn("duration_seconds", F.when(seconds < 0, 0.0).otherwise(seconds))
 
 
 def current_runs(ledger: DataFrame) -> DataFrame:

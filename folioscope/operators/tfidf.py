@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, strip_accents, words
+from ..functions.text import let, ngrams, strip_accents, words
 
 # Upper bound of a vocabulary that is broadcast; larger ones are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -53,22 +53,28 @@ def term_counts(documents: DataFrame, identifier: str, tokens: str) -> DataFrame
     Tokens of a row are sorted; the places where the term changes give the runs,
     and their lengths are the counts.
     """
-    ordered = documents.select(identifier, F.sort_array(tokens).alias("_sorted"))
-    size = F.size("_sorted")
-    changes = F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
-    )
-    starts = F.when(size > 0, changes).otherwise(F.array().cast("array<int>"))
-    runs = ordered.withColumn("_starts", starts).select(
-        identifier, "_sorted", F.size("_sorted").alias("_size"), "_starts",
-        F.posexplode("_starts").alias("_place", "_from"),
+
+    def changes(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+    def runs(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda start, j: F.struct(
+                F.get(ordered, start).alias("term"),
+                (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - start).cast("long").alias("tf"),
+            ),
+        )
+
+    counted = let(
+        F.sort_array(tokens),
+        lambda held: F.when(
+            F.size(held) > 0, let(changes(held), lambda starts: runs(held, starts))
+        ),
     )
-    following = F.coalesce(F.get("_starts", F.col("_place") + 1), F.col("_size"))
-    return runs.select(
-        identifier,
-        F.get("_sorted", F.col("_from")).alias("term"),
-        (following - F.col("_from")).cast("long").alias("tf"),
+    return documents.select(identifier, F.explode(counted).alias("_t")).select(
+        identifier, "_t.term", "_t.tf"
     )
 
 

@@ -1 +1,64 @@
+"""TF-IDF vocabularies and vectors over whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import tfidf
+from ..plans.catalog import table
+from .path_columns import KEYWORDS_SQL
+from .registry import FILES_SQL, files, query
+from .text_columns import words_sql
+
+VOCABULARY_SQL = f"""with t as (select doc_id, unnest({words_sql('text')}) as term from documents),
+    s as (select term, count(*) as cf, count(distinct doc_id) as df from t group by term),
+    v as (select *, ln((1.0::double + (select count(*) from documents)) / (1.0::double + df)) + 1.0::double as idf
+          from s where df >= 2 order by cf desc, term limit 3000)"""
+
+
+@query(
+    "tfidf_top_terms",
+    f"{VOCABULARY_SQL} select term, cf, df, round(idf, 6) as idf from v",
+)
+def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.terms("text").alias("terms"))
+    kept = tfidf.vocabulary(tfidf.term_statistics(docs, "terms"), docs.count(), 3000, 2)
+    return kept.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "tfidf_vectors",
+    f"""{VOCABULARY_SQL}, c as (select doc_id, term, count(*) as tf from t group by 1, 2),
+    w as (select doc_id, term, tf, tf * idf as raw from c join v using (term))
+    select doc_id, term, tf, round(raw / sqrt(sum(raw * raw) over (partition by doc_id)), 6) as weight from w""",
+)
+def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.terms("text").alias("terms"))
+    rows = tfidf.tfidf_vectors(docs, "doc_id", "terms", 3000, 2)
+    return rows.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "tfidf_path_vectors",
+    f"""{FILES_SQL}, w as (
+      select file_id, regexp_extract_all(strip_accents({KEYWORDS_SQL.format('path')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from files),
+    t as (select file_id, unnest(w) as term from w union all
+          select file_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) from w
+          union all select file_id, unnest(list_transform(generate_series(1, len(w) - 2),
+            lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+    s as (select term, count(*) as cf, count(distinct file_id) as df from t group by term),
+    v as (select *, ln((1.0::double + (select count(*) from files)) / (1.0::double + df)) + 1.0::double as idf
+          from s order by cf desc, term limit 20000),
+    c as (select file_id, term, count(*) as tf from t group by 1, 2),
+    r as (select file_id, term, tf, tf * idf as raw from c join v using (term))
+    select file_id, term, tf, round(raw / sqrt(sum(raw * raw) over (partition by file_id)), 6) as weight from r""",
+)
+def tfidf_path_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.paths import keywords
+
+    rows = files(spark, sf_dir).select(
+        "file_id", tfidf.terms(keywords("path"), 1, 3, fold_accents=True).alias("terms")
+    )
+    weighted = tfidf.tfidf_vectors(rows, "file_id", "terms", 20_000, 1)
+    return weighted.withColumn("weight", F.round("weight", 6))
