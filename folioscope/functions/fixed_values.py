@@ -137,19 +137,19 @@ def _lookup(spark: SparkSession, pairs: dict[str, str], key: str, value: str) ->
 
 def with_extension_family(df: DataFrame, suffix: str, out: str = "extension_family") -> DataFrame:
     """Add the family of the dotted ``suffix`` column; the 39-row table is broadcast."""
-    table = _lookup(df.sparkSession, EXTENSION_FAMILIES, "_family_key", "_family")
+    table = _lookup(df.sparkSession, EXTENSION_FAMILIES, "_family_key", "_family_value")
     return (
         df.join(F.broadcast(table), F.lower(F.col(suffix)) == F.col("_family_key"), "left")
-        .withColumn(out, F.coalesce("_family", F.lit(DEFAULT_FAMILY)))
-        .drop("_family_key", "_family")
+        .withColumn(out, F.coalesce("_family_value", F.lit(DEFAULT_FAMILY)))
+        .drop("_family_key", "_family_value")
     )
 
 
 def with_mime_type(df: DataFrame, key: str, out: str = "mime_type") -> DataFrame:
     """Add the MIME type of a ``paths.mime_key`` column, '' when unknown."""
-    table = _lookup(df.sparkSession, mime_types(), "_mime_key", "_mime")
+    table = _lookup(df.sparkSession, mime_types(), "_mime_key", "_mime_value")
     return (
         df.join(F.broadcast(table), F.col(key) == F.col("_mime_key"), "left")
-        .withColumn(out, F.coalesce("_mime", F.lit("")))
-        .drop("_mime_key", "_mime")
+        .withColumn(out, F.coalesce("_mime_value", F.lit("")))
+        .drop("_mime_key", "_mime_value")
     )

@@ -61,23 +61,31 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def ingest_stats(rows: DataFrame, path: str, text: str, error: str | None = None) -> DataFrame:
+def ingest_stats(
+    rows: DataFrame, path: str, text: str, error: str | None = None, times: str | None = None
+) -> DataFrame:
     """Counters of one ingest run in a single pass.
 
-    ``inserted`` counts rows, so a path listed twice counts twice;
-    ``distinct_files`` counts it once.
+    ``inserted`` counts listed rows, so a path listed twice counts twice;
+    ``distinct_files`` counts it once. ``times`` names a column that tells how
+    many listed rows a row stands for.
     """
+    weight = F.lit(1) if times is None else F.col(times)
     present = ~is_blank(path)
     failed = F.lit(False) if error is None else F.col(error).isNotNull()
     kept = present & ~failed
+    empty = F.coalesce(F.col(text), F.lit("")) == ""
+    cases = {
+        "inserted": kept,
+        "errors": present & failed,
+        "empty_text": kept & empty,
+        "skipped_missing": ~present,
+    }
     per_path = rows.groupBy(F.when(kept, F.col(path)).alias("_path")).agg(
-        F.count_if(kept).alias("inserted"),
-        F.count_if(present & failed).alias("errors"),
-        F.count_if(kept & (F.coalesce(F.col(text), F.lit("")) == "")).alias("empty_text"),
-        F.count_if(~present).alias("skipped_missing"),
+        *[F.sum(F.when(case, weight).otherwise(0)).alias(name) for name, case in cases.items()]
     )
     return per_path.agg(
-        *[F.sum(c).alias(c) for c in ("inserted", "errors", "empty_text", "skipped_missing")],
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in cases],
         F.count("_path").alias("distinct_files"),
     )
 

@@ -41,15 +41,16 @@ def upsert(
     table: DataFrame,
     batch: DataFrame,
     keys: Sequence[str],
-    seq: str,
+    seq: str | None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Insert or update by key.
 
     Columns in ``keep`` hold on to their old value when the new one is NULL; all
-    others are overwritten, also by NULL.
+    others are overwritten, also by NULL. Without ``seq`` the batch has one row
+    per key already.
     """
-    fresh = latest(batch, keys, seq, keep)
+    fresh = batch if seq is None else latest(batch, keys, seq, keep)
     fresh_keys = fresh.select(*keys)
     untouched = table.join(fresh_keys, list(keys), "left_anti")
     if keep:
@@ -72,16 +73,19 @@ def replace_root(table: DataFrame, scan: DataFrame, root_path: str) -> DataFrame
 
 
 def replace_labels(
-    labels: DataFrame, batch: DataFrame, seq: str, key: str = "file_id", label: str = "business_category"
+    labels: DataFrame, batch: DataFrame, seq: str | None,
+    key: str = "file_id", label: str = "business_category",
 ) -> DataFrame:
     """Files in the batch lose their labels and get the last one given, if any."""
-    fresh = latest(batch.select(key, label, seq), [key], seq)
+    fresh = batch.select(key, label)
+    if seq is not None:
+        fresh = latest(batch.select(key, label, seq), [key], seq)
     untouched = labels.join(fresh.select(key), key, "left_anti")
     return untouched.unionByName(fresh.filter(F.col(label) != ""))
 
 
 def replace_content(
-    content: DataFrame, batch: DataFrame, seq: str, key: str = "file_id"
+    content: DataFrame, batch: DataFrame, seq: str | None, key: str = "file_id"
 ) -> DataFrame:
     """Files in the batch get the last text given."""
     return upsert(content, batch, [key], seq)
