@@ -64,7 +64,7 @@ def upsert(
                 for c in fresh.columns
             ]
         )
-    return untouched.unionByName(fresh)
+    return untouched.unionByName(fresh).select(*table.columns)
 
 
 def replace_root(table: DataFrame, scan: DataFrame, root_path: str) -> DataFrame:
@@ -81,7 +81,7 @@ def replace_labels(
     if seq is not None:
         fresh = latest(batch.select(key, label, seq), [key], seq)
     untouched = labels.join(fresh.select(key), key, "left_anti")
-    return untouched.unionByName(fresh.filter(F.col(label) != ""))
+    return untouched.unionByName(fresh.filter(F.col(label) != "")).select(*labels.columns)
 
 
 def replace_content(
