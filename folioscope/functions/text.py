@@ -13,17 +13,26 @@ from pyspark.sql import types as T
 from .fixed_values import FEATURE_TEXT_LIMIT
 from .paths import _col
 
-# Python's idea of white space, written out because Java's \s is ASCII only.
-SPACE = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Code points Python takes for white space, besides the blank.
+SPACE_POINTS = (
+    0x9, 0xA, 0xB, 0xC, 0xD, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
+SPACE_CHARS = "".join(map(chr, SPACE_POINTS))
+# The same with the blank, as a character class for Java and RE2.
+SPACE = " " + "".join(f"\\x{{{point:x}}}" for point in SPACE_POINTS)
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def normalise(text: Column | str) -> Column:
-    """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(_col(text), f"[{SPACE}]+", " "))
+    """Collapse white space to single blanks and trim.
+
+    A character map is much cheaper than a large regex class, so only runs of
+    blanks are left to the regex.
+    """
+    blanks = F.translate(_col(text), SPACE_CHARS, " " * len(SPACE_CHARS))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def strip_html(text: Column | str) -> Column:
@@ -49,9 +58,23 @@ def truncate(text: Column | str, limit: int = FEATURE_TEXT_LIMIT) -> Column:
     return F.substring(_col(text), 1, limit)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of an expression that is evaluated once per row.
+
+    Inside a lambda Spark would evaluate the expression again for each element;
+    a lambda variable holds its value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column | str) -> Column:
     """White-space separated words; 0 for blank and NULL text."""
-    return F.coalesce(F.regexp_count(_col(text), F.lit(f"[^{SPACE}]+")), F.lit(0))
+
+    def gaps(clean: Column) -> Column:
+        return F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
+
+    counted = let(normalise(text), lambda clean: F.when(clean != "", gaps(clean) + 1).otherwise(0))
+    return F.coalesce(counted, F.lit(0))
 
 
 def content_measures(text: Column | str) -> dict[str, Column]:
@@ -91,8 +114,8 @@ def fill_blank(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def safe_path(value: Column | str) -> Column:
     """Trimmed text, '' for NULL."""
-    blank = f"^[{SPACE}]+|[{SPACE}]+$"
-    return F.coalesce(F.regexp_replace(_col(value).cast("string"), blank, ""), F.lit(""))
+    ends = F.lit(" " + SPACE_CHARS)
+    return F.coalesce(F.btrim(_col(value).cast("string"), ends), F.lit(""))
 
 
 def is_blank(value: Column | str) -> Column:
@@ -114,15 +137,6 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(0))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of an expression that is evaluated once per row.
-
-    Inside a lambda Spark would evaluate the expression again for each element;
-    a lambda variable holds its value.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ngrams(tokens: Column | str, low: int = 1, high: int = 1) -> Column:
     """All runs of ``low`` to ``high`` tokens, joined by a blank."""
     empty = F.array().cast("array<string>")

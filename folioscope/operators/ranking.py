@@ -11,8 +11,8 @@ from ..session import checkpointed
 
 # Hexadecimal digits of a hash that make up a bucket: 16 ** 3 buckets per class.
 BUCKET_DIGITS = 3
-# Distinct values that may be ranked by one task.
-ONE_TASK_VALUES = 200_000
+# Rows whose distinct values may be ranked by one task.
+ONE_TASK_VALUES = 1_000_000
 
 
 def positioned(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

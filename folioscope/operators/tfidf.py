@@ -22,17 +22,14 @@ def terms(text: Column | str, low: int = 1, high: int = 1, fold_accents: bool =
 def term_statistics(documents: DataFrame, tokens: str) -> DataFrame:
     """Occurrences (``cf``) and documents (``df``) of every term.
 
-    Each document is one row, so its distinct terms are known without a
-    shuffle. Both counts travel in one exchange of per-task partial sums, which
-    keeps frequent terms from piling up.
+    Each document is one row, so its counts are known without a shuffle and
+    both totals travel in one exchange of per-task partial sums, which keeps
+    frequent terms from piling up.
     """
-    occurrence = F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
-    presence = F.transform(
-        F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))
-    )
-    marked = documents.select(F.explode(F.concat(occurrence, presence)).alias("t"))
-    return marked.groupBy("t.term").agg(
-        F.count_if(F.col("t.first") == 0).alias("cf"), F.sum("t.first").alias("df")
+    return (
+        term_counts(documents, None, tokens)
+        .groupBy("term")
+        .agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     )
 
 
@@ -47,8 +44,8 @@ def vocabulary(
     return kept.withColumn("idf", idf)
 
 
-def term_counts(documents: DataFrame, identifier: str, tokens: str) -> DataFrame:
-    """(id, term, tf) rows without a shuffle.
+def term_counts(documents: DataFrame, identifier: str | None, tokens: str) -> DataFrame:
+    """(id, term, tf) rows of every document, without a shuffle.
 
     Tokens of a row are sorted; the places where the term changes give the runs,
     and their lengths are the counts.
@@ -73,8 +70,9 @@ def term_counts(documents: DataFrame, identifier: str, tokens: str) -> DataFrame
             F.size(held) > 0, let(changes(held), lambda starts: runs(held, starts))
         ),
     )
-    return documents.select(identifier, F.explode(counted).alias("_t")).select(
-        identifier, "_t.term", "_t.tf"
+    names = [] if identifier is None else [identifier]
+    return documents.select(*names, F.explode(counted).alias("_t")).select(
+        *names, "_t.term", "_t.tf"
     )
 
 

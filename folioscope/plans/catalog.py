@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 # The catalog view; the text runs unchanged in Spark and DuckDB.
 CATALOG_SQL = """
 with b as (
@@ -33,12 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog over the tables in ``sf_dir``."""
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose text is worked on, shared out when it has too few splits."""
+    return spread(table(spark, sf_dir, name), key)
+
+
+def catalog(spark: SparkSession, sf_dir: str, spread_text: bool = False) -> DataFrame:
+    """The catalog over the tables in ``sf_dir``; ask for spread text to work on it."""
+    documents = texts(spark, sf_dir) if spread_text else table(spark, sf_dir, "documents")
     return spark.sql(
         CATALOG_SQL.replace("from documents d", "from {documents} d").replace(
             "join labels l", "join {labels} l"
         ),
-        documents=table(spark, sf_dir, "documents"),
+        documents=documents,
         labels=table(spark, sf_dir, "labels"),
     )

@@ -65,6 +65,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out an input that has fewer splits than there are cores.
+
+    One file with heavy text work would keep a single core busy. An input with
+    enough splits, as any large one has, is returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast ``df`` when it is proven to have at most ``max_rows`` rows.
 

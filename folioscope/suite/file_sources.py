@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..plans.catalog import catalog, table
+from ..plans.catalog import catalog, table, texts
 from ..plans.features import feature_frame
 from ..plans.ingest import Ingested, ingest
 from ..session import shared_dir
@@ -121,7 +121,7 @@ FLAT = r"regexp_replace({0}, '[^A-Za-z0-9 ]+', ' ', 'g')"
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of several formats."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.expr(KIND_CASE).alias("extension"))
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang", F.expr(KIND_CASE).alias("extension"))
     flat = F.regexp_replace("text", "[^A-Za-z0-9 ]+", " ")
     utf8 = F.encode("text", "UTF-8")
     body = (
@@ -162,7 +162,7 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extract_feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("page_id") % 3
-    pages = table(spark, sf_dir, "pages").select(
+    pages = texts(spark, sf_dir, "pages", "page_id").select(
         "page_id",
         F.when(kind == 0, "html").when(kind == 1, "md").otherwise("pdf").alias("extension"),
         F.encode("html", "UTF-8").alias("content"),
@@ -172,7 +172,7 @@ def extract_feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows as a listing with content."""
-    return catalog(spark, sf_dir).select(
+    return catalog(spark, sf_dir, spread_text=True).select(
         "path", "size_bytes", "modified_epoch", F.encode("content_text", "UTF-8").alias("content")
     )
 

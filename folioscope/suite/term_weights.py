@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tfidf
-from ..plans.catalog import table
+from ..plans.catalog import texts
 from .path_columns import KEYWORDS_SQL
 from .registry import FILES_SQL, files, query
 from .text_columns import words_sql
@@ -22,7 +22,7 @@ VOCABULARY_SQL = f"""with t as (select doc_id, unnest({words_sql('text')}) as te
     f"{VOCABULARY_SQL} select term, cf, df, round(idf, 6) as idf from v",
 )
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.terms("text").alias("terms"))
+    docs = texts(spark, sf_dir).select("doc_id", tfidf.terms("text").alias("terms"))
     kept = tfidf.vocabulary(tfidf.term_statistics(docs, "terms"), docs.count(), 3000, 2)
     return kept.withColumn("idf", F.round("idf", 6))
 
@@ -34,7 +34,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, term, tf, round(raw / sqrt(sum(raw * raw) over (partition by doc_id)), 6) as weight from w""",
 )
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tfidf.terms("text").alias("terms"))
+    docs = texts(spark, sf_dir).select("doc_id", tfidf.terms("text").alias("terms"))
     rows = tfidf.tfidf_vectors(docs, "doc_id", "terms", 3000, 2)
     return rows.withColumn("weight", F.round("weight", 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.tfidf import term_statistics, terms
-from ..plans.catalog import catalog, table
+from ..plans.catalog import catalog, table, texts
 from .registry import FILES_SQL, files, query
 
 SPACE = text.SPACE
@@ -36,12 +36,12 @@ def words_sql(column: str) -> str:
     + " as body from pages",
 )
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("body"))
+    return texts(spark, sf_dir, "pages", "page_id").select("page_id", text.strip_html("html").alias("body"))
 
 
 @query("text_normalised", f"select doc_id, {normal_sql('text')} as body from documents")
 def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalise("text").alias("body"))
+    return texts(spark, sf_dir).select("doc_id", text.normalise("text").alias("body"))
 
 
 @query(
@@ -50,7 +50,7 @@ def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
       {printable_sql('source')} as source from documents""",
 )
 def text_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = texts(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return text.printable_frame(rows)
 
 
@@ -60,7 +60,7 @@ def text_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
       left(text, 2000) as preview from documents""",
 )
 def text_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         text.truncate("text", 100_000).alias("reader_text"),
         text.truncate("text", 5_000).alias("feature_text"),
@@ -79,7 +79,7 @@ def text_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "text"
     )
     measures = text.content_measures("text")
@@ -92,7 +92,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     select term, count(*) as cf, count(distinct doc_id) as df from t group by term""",
 )
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(terms("text").alias("terms"))
+    docs = texts(spark, sf_dir).select(terms("text").alias("terms"))
     return term_statistics(docs, "terms")
 
 
@@ -105,7 +105,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     select term, count(*) as cf, count(distinct doc_id) as df from t group by term""",
 )
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(terms("text", 1, 2).alias("terms"))
+    docs = texts(spark, sf_dir).select(terms("text", 1, 2).alias("terms"))
     return term_statistics(docs, "terms")
 
 
@@ -126,7 +126,7 @@ def path_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("accent_fold", "select doc_id, strip_accents(text) as body from documents")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents("text").alias("body"))
+    return texts(spark, sf_dir).select("doc_id", text.strip_accents("text").alias("body"))
 
 
 @query(
