@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +133,8 @@ def mime_compound_suffixes() -> dict[str, str]:
 
 
 def _lookup(spark: SparkSession, pairs: dict[str, str], key: str, value: str) -> DataFrame:
-    return spark.createDataFrame(sorted(pairs.items()), f"{key} string, {value} string")
+    names, values = zip(*sorted(pairs.items()), strict=True)
+    return spark.createDataFrame(pa.table({key: list(names), value: list(values)}))
 
 
 def with_extension_family(df: DataFrame, suffix: str, out: str = "extension_family") -> DataFrame:

@@ -162,3 +162,31 @@ def replace_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_id", F.lit("").alias("content_text"), F.lit(2).alias("seq")
     )
     return u.replace_content(rows, first.unionByName(second), "seq")
+
+
+@query(
+    "unreadable_dropped",
+    f"""{FILES_SQL} select path, case when file_id % 5 <> 0 then modified_epoch end as created_epoch,
+      case when file_id % 3 <> 0 then modified_epoch end as modified_epoch from files where file_id % 15 <> 0""",
+)
+def unreadable_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, epoch = F.col("file_id"), F.col("modified_epoch")
+    rows = files(spark, sf_dir).select(
+        "path",
+        F.when(number % 5 != 0, epoch).alias("created_epoch"),
+        F.when(number % 3 != 0, epoch).alias("modified_epoch"),
+    )
+    return u.drop_unreadable(rows, "created_epoch", "modified_epoch")
+
+
+@query(
+    "missing_paths_dropped",
+    f"""{FILES_SQL} select file_id, case when file_id % 8 = 3 then null when file_id % 8 = 5 then '   ' else path end as path
+    from files where file_id % 8 not in (3, 5) and business_capability is not null""",
+)
+def missing_paths_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("file_id") % 8
+    path = F.when(kind == 3, None).when(kind == 5, "   ").otherwise(F.col("path"))
+    rows = files(spark, sf_dir).select("file_id", path.alias("path"), "business_capability")
+    kept = u.drop_blank_target(u.drop_missing_paths(rows, "path"), "business_capability")
+    return kept.select("file_id", "path")
