@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -29,16 +29,19 @@ AUDIT_SORT_KEYS = 3
 DEEP_PAGE_ROWS = 100_000
 
 
-def contains_nocase(column: Column, text: str, literal: bool = False) -> Column:
-    """Substring match that folds ASCII case only.
+def fold_case(column: Column | str) -> Column:
+    """Lower case for ASCII letters only."""
+    return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def contains_nocase(folded: Column, text: str, literal: bool = False) -> Column:
+    """Substring match in a column that went through :func:`fold_case`.
 
     ``%`` and ``_`` in ``text`` stay wildcards and a backslash is an ordinary
     character, unless ``literal`` is set.
     """
-    upper, lower = string.ascii_uppercase, string.ascii_lowercase
-    folded = F.translate(column, upper, lower)
-    wanted = text.translate(str.maketrans(upper, lower))
-    if literal:
+    wanted = text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    if literal or not set(wanted) & set("%_"):
         return folded.contains(wanted)
     return folded.like("%" + wanted.replace("\\", "\\\\") + "%")
 
@@ -58,20 +61,27 @@ class CatalogFilter:
     null_as_blank: bool = True
     literal: bool = False
 
-    def predicate(self) -> Column:
+    def predicate(self, folded: str | None = None) -> Column:
+        """All conditions; ``folded`` names a stored case-folded subfolder column.
+
+        NULL is matched beside the plain comparison and not inside a COALESCE,
+        so the comparison still reaches the Parquet reader.
+        """
         extension, subfolder = F.col("extension"), F.col("subfolder")
-        if self.null_as_blank:
-            extension = F.coalesce(extension, F.lit(""))
-            subfolder = F.coalesce(subfolder, F.lit("/"))
         parts = [F.col(name) == value for name, value in self.equals.items()]
         if self.extensions:
-            parts.append(extension.isin(*self.extensions))
+            listed = extension.isin(*self.extensions)
+            blank = self.null_as_blank and "" in self.extensions
+            parts.append(listed | extension.isNull() if blank else listed)
         if self.subfolder_contains:
-            parts.append(contains_nocase(subfolder, self.subfolder_contains, self.literal))
+            target = F.col(folded) if folded else fold_case(subfolder)
+            if self.null_as_blank:
+                target = F.coalesce(target, F.lit("/"))
+            parts.append(contains_nocase(target, self.subfolder_contains, self.literal))
         return reduce(and_, parts, F.lit(True))
 
     def apply(self, files: DataFrame) -> DataFrame:
-        return files.filter(self.predicate())
+        return files.filter(self.predicate("subfolder_lc" if "subfolder_lc" in files.columns else None))
 
 
 def audit_order(instructions: Sequence[tuple[str, str]]) -> list[Column]:
@@ -153,12 +163,15 @@ def lookup(df: DataFrame, **keys: object) -> DataFrame:
     return df.filter(reduce(and_, (F.col(name) == value for name, value in keys.items())))
 
 
+def peek(files: DataFrame, content: DataFrame, limit: int, preview: int = 2_000) -> DataFrame:
+    """The first files by id with the beginning of their text."""
+    first = files.orderBy("file_id").limit(limit)
+    texts = content.select("file_id", F.substring("content_text", 1, preview).alias("preview"))
+    return first.join(texts, "file_id", "left").withColumn("preview", F.coalesce("preview", F.lit("")))
+
+
 def run_order() -> list[Column]:
     """Running, then queued, then the rest; newest activity first."""
     rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", 1).otherwise(2)
     activity = F.coalesce("completed_at", "started_at", "queued_at")
     return [rank, activity.desc(), F.asc("root_path")]
-
-
-def available(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    return [name for name in columns if name in df.columns]

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.query import fold_case
 from ..operators.upsert import upsert
 
 
@@ -38,7 +39,7 @@ def write_catalog(df: DataFrame, path: str) -> None:
     Rows go to as many tasks per root as Spark has; a large root is not forced
     into one file. ``subfolder_lc`` is stored for case-blind filters.
     """
-    ready = df.withColumn("subfolder_lc", F.lower("subfolder"))
+    ready = df.withColumn("subfolder_lc", fold_case("subfolder"))
     order = [c for c in ("root_path", "extension", "subfolder") if c in ready.columns]
     ready.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("root_path").parquet(path)
 
@@ -46,7 +47,8 @@ def write_catalog(df: DataFrame, path: str) -> None:
 def overwrite_root(scan: DataFrame, path: str, root: str) -> None:
     """Replace one root of a catalog; an empty scan empties it."""
     partition = f"{path}/root_path={quote(root, safe=' ')}"
-    scan.drop("root_path").write.mode("overwrite").parquet(partition)
+    ready = scan.withColumn("subfolder_lc", fold_case("subfolder")).drop("root_path")
+    ready.write.mode("overwrite").parquet(partition)
 
 
 def append_changes(batch: DataFrame, path: str, batch_id: int) -> None:

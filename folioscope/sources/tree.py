@@ -16,23 +16,27 @@ def scan_tree(
     """Path, size and time of every file below ``root``.
 
     Spark lists large trees on the executors. Content is read only when asked
-    for and, with ``max_content_bytes``, only for files up to that size. Names
-    that start with '.' or '_' are not listed, and owner and creation time are
-    not known; a listing table may bring them instead.
+    for. A file above ``max_content_bytes`` is listed without its content, since
+    a file is one value and a value ends at 2 GB. Names that start with '.' or
+    '_' are not listed, and owner and creation time are not known; a listing
+    table may bring them instead.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     found = reader.load(root)
-    if with_content and max_content_bytes is not None:
-        found = found.filter(F.col("length") <= max_content_bytes)
-    local = F.regexp_replace("path", "^file:(//)?", "")
     columns = [
-        local.alias("path"),
+        F.regexp_replace("path", "^file:(//)?", "").alias("path"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_ts"),
     ]
-    return found.select(*columns, *([F.col("content")] if with_content else []))
+    if not with_content:
+        return found.select(*columns)
+    if max_content_bytes is None:
+        return found.select(*columns, "content")
+    small = found.filter(F.col("length") <= max_content_bytes).select(*columns, "content")
+    large = found.filter(F.col("length") > max_content_bytes)
+    return small.unionByName(large.select(*columns, F.lit(None).cast("binary").alias("content")))
 
 
 def listing_columns(files: DataFrame, root: str) -> DataFrame:

@@ -206,3 +206,13 @@ def summary_listing_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = file_detail(*reader_tables(spark, sf_dir))
     return found.select("file_id", "path", F.array_join("labels", "|").alias("labels"), "content_text")
+
+
+@query(
+    "peek",
+    f"""{FILES_SQL} select f.file_id, f.path, left(c.content_text, 2000) as preview
+    from files f join catalog c using (file_id) order by f.file_id limit 30""",
+)
+def peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, content = reader_tables(spark, sf_dir)
+    return q.peek(rows.select("file_id", "path"), content, 30)

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import query
 from folioscope.plans.features import feature_frame
 from folioscope.plans.ingest import ingest
 from folioscope.sources import extract, sinks, tables, tree
@@ -65,6 +66,12 @@ def test_scan_reads_no_content_unless_asked(spark, root):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
+def test_large_files_stay_listed(spark, root):
+    rows = tree.scan_tree(spark, root, with_content=True, max_content_bytes=1000).collect()
+    assert len(rows) == len(FILES)
+    assert {r.path.split("/")[-1] for r in rows if r.content is None} == {"long.md", "long.csv"}
+
+
 def test_extractor_hook(spark, root):
     rows = extract.reader_text(listed(spark, root), extractors={"pdf": lambda b: b.decode()[:4], "txt": lambda b: 1 / 0})
     got = {r.file_name: r.content_text for r in rows.collect()}
@@ -152,10 +159,17 @@ def test_catalog_sink_replaces_one_root(spark, tmp_path):
     )
     sinks.write_catalog(rows, path)
     new = spark.createDataFrame([("/srv/A b", "/srv/A b/z", "q", "md")], rows.schema)
-    sinks.overwrite_root(new.withColumn("subfolder_lc", F.lower("subfolder")), path, "/srv/A b")
+    sinks.overwrite_root(new, path, "/srv/A b")
     assert sorted(r.path for r in spark.read.parquet(path).collect()) == ["/srv/A b/z", "/srv/B/y"]
-    plan = spark.read.parquet(path).filter(F.col("root_path") == "/srv/B")
-    assert [r.path for r in plan.collect()] == ["/srv/B/y"]
+    wanted = query.CatalogFilter({"root_path": "/srv/B"}, ["csv", ""], "/")
+    found = wanted.apply(spark.read.parquet(path))
+    assert [r.path for r in found.collect()] == ["/srv/B/y"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "root_path" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "In(extension" in plan.split("PushedFilters: [")[1]
+    strict = query.CatalogFilter(subfolder_contains="UB", null_as_blank=False)
+    plan = strict.apply(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(subfolder_lc,ub)" in plan
     sinks.overwrite_root(new.limit(0), path, "/srv/A b")
     assert [r.path for r in spark.read.parquet(path).collect()] == ["/srv/B/y"]
 
@@ -183,10 +197,10 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     stream = scans.read_files(spark, source, rows.schema, files_per_batch=1)
     listener = scans.ProgressReporter(lambda batch, n: reports.append(n))
     spark.streams.addListener(listener)
-    query = scans.start_change_log(stream, str(tmp_path / "log"), str(tmp_path / "state"))
-    query.awaitTermination()
+    job = scans.start_change_log(stream, str(tmp_path / "log"), str(tmp_path / "state"))
+    job.awaitTermination()
     spark.streams.removeListener(listener)
-    assert query.exception() is None
+    assert job.exception() is None
     got = sinks.current_table(spark, str(tmp_path / "log"), ["run_id", "path"], "seq", keep=["modified_at"])
     assert spark.read.parquet(str(tmp_path / "log")).select("batch_id").distinct().count() == 3
     from folioscope.operators.upsert import latest
