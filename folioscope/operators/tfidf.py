@@ -36,10 +36,24 @@ def term_statistics(documents: DataFrame, tokens: str) -> DataFrame:
 def vocabulary(
     statistics: DataFrame, documents: int, max_features: int | None = None, min_df: int = 1
 ) -> DataFrame:
-    """Terms kept, by corpus frequency then name, with their smoothed idf."""
+    """Terms kept, by corpus frequency then name, with their smoothed idf.
+
+    A top-k alone would send ``max_features`` rows of every task to one. So the
+    frequency that the last term kept must have is found first, from the number
+    of terms per frequency; what reaches the top-k is the vocabulary and the
+    ties at its end. Both branches read the same shuffled statistics.
+    """
     kept = statistics.filter(F.col("df") >= min_df)
     if max_features is not None:
-        kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        rows = kept.groupBy("cf").agg(F.count(F.lit(1)).alias("_terms"))
+        above = Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1)
+        reached = rows.withColumn("_above", F.coalesce(F.sum("_terms").over(above), F.lit(0)))
+        least = reached.filter(F.col("_above") < max_features).agg(F.min("cf")).scalar()
+        kept = (
+            kept.filter(F.col("cf") >= least)
+            .orderBy(F.desc("cf"), F.asc("term"))
+            .limit(max_features)
+        )
     idf = F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + 1.0
     return kept.withColumn("idf", idf)
 
