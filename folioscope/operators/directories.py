@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, folder, parent_directory, relative_depth
+from ..session import small_side
 
 
 def directory_rollup(files: DataFrame, root: str = "root_path", path: str = "path") -> DataFrame:
@@ -49,12 +50,15 @@ def directory_rollup(files: DataFrame, root: str = "root_path", path: str = "pat
 def files_with_directory(files: DataFrame, directories: DataFrame, columns: list[str]) -> DataFrame:
     """Files joined to the directory that holds them, with prefixed ``columns`` of it.
 
-    A folder may hold a large share of all files. Directory rows are unique per
-    key, so AQE can split such a key on the file side.
+    A folder may hold a large share of all files. Few directories are broadcast;
+    many are joined by shuffle, where AQE can split a large folder because
+    directory rows are unique per key.
     """
     parents = directories.select(
         "root_path",
         F.col("path").alias("folder"),
         *[F.col(c).alias(f"dir_{c}") for c in columns],
     )
-    return files.withColumn("folder", folder("path")).join(parents, ["root_path", "folder"])
+    return files.withColumn("folder", folder("path")).join(
+        small_side(parents), ["root_path", "folder"]
+    )

@@ -28,6 +28,22 @@ def change(
     return (root_path, changed_at, seq, status, total_files, total_errors, error_message)
 
 
+def finishing_change(
+    counters: DataFrame, root_path: str, finished_at: object, seq: int,
+    files: str = "inserted", errors: str = "errors", error_message: str | None = None,
+) -> DataFrame:
+    """Ledger row that ends a run with the totals of its counters."""
+    return counters.select(
+        F.lit(root_path).alias("root_path"),
+        F.lit(finished_at).cast("timestamp_ntz").alias("changed_at"),
+        F.lit(seq).cast("long").alias("seq"),
+        F.lit("completed" if error_message is None else "failed").alias("status"),
+        F.col(files).cast("long").alias("total_files"),
+        F.col(errors).cast("long").alias("total_errors"),
+        F.lit(error_message).cast("string").alias("error_message"),
+    )
+
+
 def _newest(kinds: tuple[str, ...]) -> Column:
     wanted = F.col("status").isin(*kinds)
     moment = F.struct("changed_at", "seq")

@@ -2,9 +2,9 @@
 
 A table is a DataFrame with at most one row per key. A batch may repeat a key;
 ``seq`` is a column that orders its rows totally within a key. Every function
-leaves rows whose key is not in the batch alone: they pass through an anti-join,
-which Spark turns into a broadcast when the batch keys are few, so a small batch
-does not shuffle a large table.
+leaves rows whose key is not in the batch alone: they pass through an anti-join.
+When the batch is proven to be small its keys are broadcast, so that it does not
+shuffle a large table; otherwise both sides are shuffled by key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import small_keys
 
 
 def latest(batch: DataFrame, keys: Sequence[str], seq: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -37,6 +38,12 @@ def latest(batch: DataFrame, keys: Sequence[str], seq: str, keep: Sequence[str]
     )
 
 
+def _batch_keys(batch: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the batch for semi- and anti-joins, where repeats do no harm."""
+    few = small_keys(batch.select(*keys))
+    return fresh.select(*keys) if few is None else few
+
+
 def upsert(
     table: DataFrame,
     batch: DataFrame,
@@ -51,7 +58,7 @@ def upsert(
     per key already.
     """
     fresh = batch if seq is None else latest(batch, keys, seq, keep)
-    fresh_keys = fresh.select(*keys)
+    fresh_keys = _batch_keys(batch, fresh, keys)
     untouched = table.join(fresh_keys, list(keys), "left_anti")
     if keep:
         old = table.join(fresh_keys, list(keys), "left_semi").select(
@@ -80,7 +87,7 @@ def replace_labels(
     fresh = batch.select(key, label)
     if seq is not None:
         fresh = latest(batch.select(key, label, seq), [key], seq)
-    untouched = labels.join(fresh.select(key), key, "left_anti")
+    untouched = labels.join(_batch_keys(batch, fresh, [key]), key, "left_anti")
     return untouched.unionByName(fresh.filter(F.col(label) != "")).select(*labels.columns)
 
 

@@ -88,3 +88,17 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     if fetched.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(fetched, schema=df.schema))
+
+
+def small_keys(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame | None:
+    """The rows of ``df`` as a broadcast table, None when there are more than ``max_rows``.
+
+    Rows are taken split by split, so a large input is left after its first
+    splits and only a small one is read to its end.
+    """
+    from pyspark.sql import functions as F
+
+    taken = df.take(max_rows + 1)
+    if len(taken) > max_rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(taken, df.schema))

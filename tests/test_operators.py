@@ -23,6 +23,31 @@ def test_upsert_rules(spark):
     assert sorted(again.collect()) == sorted(kept.collect())
 
 
+def test_large_batches_take_the_shuffle_path(spark, monkeypatch):
+    from folioscope import session
+
+    old = spark.range(400).select(F.col("id").cast("string").alias("path"), F.col("id").alias("m"))
+    new = spark.range(200, 600).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("path"),
+        F.when(F.col("id") % 2 == 0, -F.col("id")).alias("m"), F.col("id").alias("seq"),
+    )
+    wanted = sorted(map(tuple, upsert.upsert(old, new, ["path"], "seq", keep=["m"]).collect()))
+    monkeypatch.setattr(session.small_keys, "__defaults__", (10,))
+    assert upsert.small_keys(new.select("path")) is None
+    assert sorted(map(tuple, upsert.upsert(old, new, ["path"], "seq", keep=["m"]).collect())) == wanted
+    assert dict(wanted)["hot"] == -594 and dict(wanted)["201"] != -201
+
+
+def test_finished_run(spark):
+    from datetime import datetime
+
+    counters = spark.createDataFrame([(7, 2)], "inserted long, errors long")
+    begun = spark.createDataFrame([runs.change("/a", datetime(2024, 1, 1), 1, "running")], runs.LEDGER_SCHEMA)
+    ended = runs.finishing_change(counters, "/a", datetime(2024, 1, 1, 0, 0, 5), 2)
+    row = runs.current_runs(begun.unionByName(ended)).first()
+    assert (row.status, row.total_files, row.total_errors, row.duration_seconds) == ("completed", 7, 2, 5.0)
+
+
 def test_labels_and_roots(spark):
     labels = spark.createDataFrame([(1, "a"), (2, "b")], "file_id long, business_category string")
     batch = spark.createDataFrame([(1, "c", 1), (1, "", 2), (3, "d", 1)], "file_id long, business_category string, seq int")
