@@ -127,6 +127,33 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     return (lower + upper) / 2
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of several numeric columns.
+
+    Columns with few values, as one count shows, share a single aggregate.
+    """
+    missing = F.lit(None).cast("double")
+    clean = df.select(*[F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in columns])
+    sizes = clean.agg(*[F.count(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if sizes[c] <= ONE_TASK_VALUES]
+    found = clean.agg(*[F.median(c).alias(c) for c in few]).first().asDict() if few else {}
+    return {c: found[c] if c in found else exact_median(df, c) for c in columns}
+
+
+def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """:func:`mode` of several string columns in one job."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
+    counts = (
+        df.select(F.explode(pairs).alias("p"))
+        .filter("p.v IS NOT NULL")
+        .groupBy("p.c", "p.v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    top = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+    found = {row["c"]: row["v"] for row in top.collect()}
+    return {c: found.get(c) for c in columns}
+
+
 def mode(df: DataFrame, column: str) -> object | None:
     """Most frequent non-NULL value, the smallest of equals."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..session import small_side
-from .ranking import exact_median, mode
+from .ranking import exact_medians, mode, modes
 
 
 def value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
@@ -117,8 +117,11 @@ def with_balanced_weights(df: DataFrame, label: str, out: str = "weight") -> Dat
 
 def impute_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, object]:
     """Median of numeric and mode of categorical columns."""
-    found: dict[str, object] = {c: exact_median(df, c) for c in numeric}
-    found.update({c: mode(df, c) for c in categorical})
+    found: dict[str, object] = dict(exact_medians(df, numeric)) if numeric else {}
+    types = dict(df.dtypes)
+    strings = [c for c in categorical if types[c] == "string"]
+    found.update(modes(df, strings) if strings else {})
+    found.update({c: mode(df, c) for c in categorical if c not in strings})
     return found
 
 

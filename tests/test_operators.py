@@ -119,6 +119,18 @@ def test_mode_prefers_the_smallest(spark):
     assert ranking.mode(rows, "v") == "a"
 
 
+def test_medians_and_modes_together(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(1.0, 4, "b", "x"), (float("nan"), 1, "a", None), (3.0, None, "b", None), (8.0, 2, "a", "z")],
+        "d double, i int, s string, t string",
+    )
+    wanted = {"d": 3.0, "i": 2.0}
+    assert ranking.exact_medians(rows, ["d", "i"]) == wanted
+    monkeypatch.setattr(ranking, "ONE_TASK_VALUES", 2)
+    assert ranking.exact_medians(rows, ["d", "i"]) == wanted
+    assert ranking.modes(rows, ["s", "t"]) == {"s": "a", "t": "x"}
+
+
 def test_running_totals(spark):
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 501).alias("o"), F.col("id").alias("v"))
     got = ranking.running_totals(rows, "g", "o", ["v"]).collect()
