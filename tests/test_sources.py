@@ -214,3 +214,25 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     scans.start_change_log(totals, str(tmp_path / "log2"), str(tmp_path / "state2"), "update").awaitTermination()
     last = scans.newest(spark, str(tmp_path / "log2"), ["run_id"]).first()
     assert (last.total_files, last.total_errors, last.last_path) == (40, 20, "p3")
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The driver finds the package by path only, as from another folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(repo)!r})\n"
+        "from folioscope.functions.text import strip_accents_expanding\n"
+        "from folioscope.session import get_session\n"
+        "from folioscope.sources.extract import reader_text\n"
+        "spark = get_session('away', 'local[1]', spark__ui__enabled='false')\n"
+        "rows = spark.createDataFrame([(bytearray(b'a,b'), 'csv')], 'content binary, extension string')\n"
+        "row = reader_text(rows).select(strip_accents_expanding('content_text').alias('t')).first()\n"
+        "assert row.t == 'a, b', row\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, timeout=120, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
