@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import near_dedup, packing, tokens
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -22,3 +22,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_configuration_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path(), SEQUENCE_TOKENS)
+
+
+@query("op8_bottom_k_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
