@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, packing, tokens
+from . import near_dedup, packing, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -27,3 +28,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bottom_k_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
+
+
+@query("op1_noisy_channel_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
+        F.col("is_toxic").cast("int").alias("predicted"),
+    )
