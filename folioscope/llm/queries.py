@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, tokens, toxicity
+from . import html_text, near_dedup, packing, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -38,3 +38,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
         F.col("is_toxic").cast("int").alias("predicted"),
     )
+
+
+@query("op7_tree_model_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("string").alias("html"))
+    found = html_text.with_main_text(pages, html_text.fit(pages)).drop("html")
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
