@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, near_dedup, packing, tokens, toxicity
+from . import html_text, near_dedup, packing, pseudonyms, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -45,3 +45,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("string").alias("html"))
     found = html_text.with_main_text(pages, html_text.fit(pages)).drop("html")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op5_feistel_pseudonyms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(documents, "text", count="n_replaced")
