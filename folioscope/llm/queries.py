@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, near_dedup, packing, pseudonyms, tokens, toxicity
+from . import html_text, near_dedup, packing, pseudonyms, quality, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -51,3 +51,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(documents, "text", count="n_replaced")
+
+
+@query("op9_adaptive_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
