@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, near_dedup, packing, pseudonyms, quality, tokens, toxicity
+from . import decontaminate, html_text, near_dedup, packing, pseudonyms, quality, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -56,3 +56,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_adaptive_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op4_block_max_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
