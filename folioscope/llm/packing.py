@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded, map_slices, text_of, worker_cache, written
 
 ROUNDS, RATE = 40, 0.3
-IDS_KEPT = 400_000
+IDS_KEPT = 800_000
+SIGNS = ".,|;:"
 BUCKET_ROWS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -52,22 +53,37 @@ class Encoder:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict = {}
+        self.words: dict = {}
+
+    def learn_words(self, words: set[str]) -> None:
+        """Ids of pre-tokens in lower case, by one call of the library."""
+        fresh = list(words.difference(bounded(self.words, IDS_KEPT)))
+        # A pre-token ends with the only token of it that carries an end mark.
+        ids = np.array(self.library.encode_batch([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        raw, borders = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        for word, a, b in zip(fresh, borders, borders[1:]):
+            self.words[word] = raw[a:b]
 
     def learn(self, pieces: set[str]) -> None:
-        plain, other = [], []
+        simple, cut, other = [], [], []
         for p in pieces:
-            easy = self.plain.fullmatch(p) and not any(s in p for s in self.special)
-            (plain if easy else other).append(p)
+            # Most are letters, with a sign behind them or none.
+            if p.isalpha() and self.plain.fullmatch(p):
+                simple.append((p, p.lower(), ""))
+            elif p[:-1].isalpha() and p[-1] in SIGNS and self.plain.fullmatch(p):
+                simple.append((p, p[:-1].lower(), p[-1]))
+            elif self.plain.fullmatch(p) and not any(s in p for s in self.special):
+                cut.append((p, self.split.findall(p.lower())))
+            else:
+                other.append(p)
+        self.learn_words({w for _, w, _ in simple}.union(SIGNS, *(w for _, w in cut)))
+        words = self.words
+        for p, word, sign in simple:
+            self.known[p] = words[word] + words[sign] if sign else words[word]
+        for p, parts in cut:
+            self.known[p] = b"".join([words[w] for w in parts])
         for p, e in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
-        if plain:
-            # One call for all; a pre-token ends with the only token of it that carries an end mark.
-            words = np.array([len(self.split.findall(p.lower())) for p in plain])
-            ids = np.array(self.library.encode_batch([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            places = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-            raw, borders = ids.tobytes(), 4 * places[np.concatenate([[0], words.cumsum()])]
-            for p, a, b in zip(plain, borders.tolist(), borders[1:].tolist()):
-                self.known[p] = raw[a:b]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as unsigned little-endian 32-bit numbers."""
