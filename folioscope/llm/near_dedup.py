@@ -78,7 +78,7 @@ def _listed(distinct: DataFrame) -> DataFrame:
     )
 
 
-def _block_pairs(key: str, blocks: F.Column, node: str = "node"):
+def block_pairs(key: str, blocks: F.Column, node: str = "node"):
     """Columns for the pairs of blocks that a row of a cut group goes to."""
     mine = F.pmod(F.xxhash64(node, F.lit(7)), blocks)
     others = F.sequence(F.lit(0).cast("long"), blocks - 1)
@@ -212,7 +212,7 @@ def _families(distinct: DataFrame, percent: int) -> DataFrame:
     counts = listed.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("members") / LIST_ROWS)
     dealt = listed.join(counts, "value").select(
-        "value", "node", "n", "sketch", _block_pairs("value", blocks).alias("pair")
+        "value", "node", "n", "sketch", block_pairs("value", blocks).alias("pair")
     ).select("value", "pair.low", "pair.high", "node", "n", "sketch")
     return connected_components(grouped_links(dealt, ["value", "low", "high"], _list_links(percent)), "a", "b")
 
@@ -235,7 +235,7 @@ def _confirmed(documents: DataFrame, members: DataFrame, width: int, percent: in
     weights = members.groupBy("family").agg(F.sum("n").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_ELEMENTS)
     dealt = sets.join(cut(weights), "family").select(
-        "family", "node", "n", "shingles", _block_pairs("family", blocks).alias("pair")
+        "family", "node", "n", "shingles", block_pairs("family", blocks).alias("pair")
     ).select("family", "pair.low", "pair.high", "node", "n", "shingles")
     return grouped_links(dealt, ["family", "low", "high"], _set_links(percent))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dedup, packing, pseudonyms, quality, tokens, toxicity
+from . import decontaminate, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -61,3 +61,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_block_max_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_paragraph_banding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
