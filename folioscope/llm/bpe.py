@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
+from operator import sub
 
 import regex
 
@@ -25,7 +26,7 @@ PLAIN = re.compile("[\x00-\x7f\xa1-\xac\xae-\xff–—‘’“”…€]*")
 CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 SPACE = regex.compile(r"\s")
 CHUNKS = regex.compile(r"[^\s]+|\s+")
-PAIRS_KEPT, WORDS_KEPT, CHUNKS_KEPT = 400_000, 400_000, 400_000
+PAIRS_KEPT, WORDS_KEPT, CHUNKS_KEPT = 200_000, 400_000, 400_000
 NEVER = 1 << 30
 
 
@@ -177,19 +178,17 @@ class PrefixCounter:
             yield counts
 
     def learn_words(self, pretokens: set[str]) -> None:
-        """Work out the prefix counts, by characters, of pre-tokens not met before."""
+        """Work out the changes of the count at each character of pre-tokens not met before."""
         known = bounded(self.words, WORDS_KEPT)
         fresh = {p: p.encode() for p in pretokens.difference(known)}
         letters = sorted(("".join([self.letters[b] for b in raw]), p) for p, raw in fresh.items())
         for (_, text), counts in zip(letters, self.words_counts([x for x, _ in letters])):
-            if len(fresh[text]) == len(text):
-                known[text] = counts[1:]
-            else:
-                ends, place = [], 0
+            if len(fresh[text]) != len(text):
+                ends = [0]
                 for c in text:
-                    place += len(c.encode())
-                    ends.append(counts[place])
-                known[text] = ends
+                    ends.append(ends[-1] + len(c.encode()))
+                counts = [counts[end] for end in ends]
+            known[text] = _changes(counts)
 
     def _by_library(self, chunk: str) -> list[int]:
         out = []
@@ -211,30 +210,39 @@ class PrefixCounter:
 
     def learn(self, pieces: set[str]) -> None:
         """Work out the changes of the count at each character of texts between blanks."""
-        known = self.chunks
-        parts = {p: CHUNKS.findall(p) for p in pieces}
-        words = {w: self._pretokens(w) for c in parts.values() for w in c if not SPACE.match(w)}
+        known, simple, other = self.chunks, [], []
+        for p in pieces:
+            # Most are letters, with a sign behind them or none.
+            if p.isalpha() and PLAIN.fullmatch(p):
+                simple.append((p, p.lower(), ""))
+            elif p[:-1].isalpha() and p[-1] in ".,|;:" and PLAIN.fullmatch(p):
+                simple.append((p, p[:-1].lower(), p[-1]))
+            else:
+                other.append((p, CHUNKS.findall(p)))
+        words = {w: self._pretokens(w) for _, cut in other for w in cut if not SPACE.match(w)}
         wanted = {t for tokens in words.values() for t in tokens or ()}
         # A contraction that is cut short is a sign and a letter of its own.
-        wanted |= {t[1] for t in wanted if CONTRACTION.fullmatch(t)} | {"'"}
+        wanted |= {t[1] for t in wanted if CONTRACTION.fullmatch(t)} | {"'", *".,|;:"}
+        wanted.update([w for _, w, _ in simple])
         self.learn_words(wanted)
-        for piece, cut in parts.items():
-            counts, total = [0], 0
+        found = self.words
+        for p, word, sign in simple:
+            known[p] = found[word] + found[sign] if sign else found[word]
+        for p, cut in other:
+            parts = []
             for word in cut:
                 tokens = words.get(word, ())
                 if tokens is None:
-                    counts += [total + n for n in self._by_library(word)]
-                    total = counts[-1]
-                    continue
-                if not tokens:
-                    counts += [total] * len(word)
-                for token in tokens:
-                    made = self.words[token]
+                    parts.append(_changes([0, *self._by_library(word)]))
+                elif not tokens:
+                    parts.append(bytes(2 * len(word)))
+                for token in tokens or ():
                     if len(token) > 2 and CONTRACTION.fullmatch(token):
-                        made = [made[0], made[0] + self.words[token[1]][0], made[2]]
-                    counts += [total + n for n in made]
-                    total = counts[-1]
-            known[piece] = array("h", [b - a for a, b in zip(counts, counts[1:])]).tobytes()
+                        whole = sum(array("h", found[token]))
+                        parts.append(array("h", [1, 1, whole - 2]).tobytes())
+                    else:
+                        parts.append(found[token])
+            known[p] = b"".join(parts)
 
     def steps(self, texts: list[str]) -> list[bytes]:
         """Change of the token count at each character of each text, as 16-bit numbers.
@@ -247,6 +255,10 @@ class PrefixCounter:
         return [b"\0\0".join(map(known.__getitem__, p)) for p in pieces]
 
 
+def _changes(counts: list[int]) -> bytes:
+    return array("h", map(sub, counts[1:], counts)).tobytes()
+
+
 def counter(path: str) -> PrefixCounter:
     """The worker's counter for a vocabulary file."""
     cache = worker_cache("prefix_counters")

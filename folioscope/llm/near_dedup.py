@@ -262,3 +262,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) ->
     ).select(
         "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """The documents with one of each group of near duplicates, the one with the smallest id.
+
+    Of equal rows one stays. Rows without an id can't be told apart and stay.
+    """
+    found = near_duplicates(documents, width, percent).filter("kept")
+    ids = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
+    joined = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    single = (F.col("_rows") == 1) | F.col("_id").isNull()
+    once = joined.filter(single).select(documents.columns)
+    return once.union(joined.filter(~single).select(documents.columns).dropDuplicates(["doc_id", "text"]))

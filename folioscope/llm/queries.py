@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity
+from . import decontaminate, fixity, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -66,3 +66,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_paragraph_banding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+# The replica that is audited: a byte of some pages is another one, and some records are lost.
+FIXITY_SQL = """
+select page_id, case when page_id % 389 = 7 then 'missing' else 'differs' end as status,
+       cast(74 + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + length(cast(strlen(coalesce(html, '')) as varchar)) as bigint) as length
+from pages where page_id % 389 = 7 or page_id % 97 = 5 and length(html) > 0 and ascii(html) < 128
+"""
+
+
+@query("op3_merkle_fixity_audit", FIXITY_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixity.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html", "_metadata"))
+    flipped = (F.col("page_id") % 97 == 5) & (F.length("html") > 0) & (F.ascii("html") < 128)
+    bad = F.concat(F.lit("\x7f"), F.substring("html", 2, 1 << 30))
+    body = F.when(flipped, bad).otherwise(F.col("html"))
+    damaged = pages.withColumn("record", fixity.response_record(F.col("url"), body))
+    replica = fixity.leaves(damaged, ["page_id"]).filter("not (page_id % 389 = 7)")
+    found = fixity.audit(fixity.leaves(pages, ["page_id"]), replica, ["page_id"])
+    return found.select("page_id", "status", "length")

@@ -50,19 +50,23 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
     return int(fitting[-1]) + 1 if len(fitting) else 0
 
 
-def answers(df: DataFrame, budget: int, steps: str = STEPS) -> DataFrame:
-    """Replace stored steps by ``n_tokens`` and ``fitting_chars``, the longest prefix within the budget."""
+def answered(all_steps: list[bytes | None], budget: int) -> list[list[int]]:
+    """Token counts of whole texts, and characters of the longest prefix within the budget."""
+    totals, fitting = [], []
+    for raw in all_steps:
+        whole = np.frombuffer(raw or b"", "<i2")
+        total = int(whole.sum(dtype=np.int64))
+        totals.append(total)
+        fitting.append(len(whole) if total <= budget else longest_within(prefix_counts(raw), budget))
+    return [totals, fitting]
 
-    def work(columns: list[list]) -> list[list]:
-        totals, fitting = [], []
-        for raw in columns[0]:
-            whole = np.frombuffer(raw or b"", "<i2")
-            total = int(whole.sum(dtype=np.int64))
-            totals.append(total)
-            fitting.append(len(whole) if total <= budget else longest_within(prefix_counts(raw), budget))
-        return [totals, fitting]
 
-    return append_columns(df, [steps], work, "n_tokens bigint, fitting_chars bigint").drop(steps)
+ANSWERS = "n_tokens bigint, fitting_chars bigint"
+
+
+def answers(df: DataFrame, budget: int, steps: str = STEPS) -> DataFrame:
+    """Replace stored steps by ``n_tokens`` and ``fitting_chars``, the longest prefix within the budget."""
+    return append_columns(df, [steps], lambda columns: answered(columns[0], budget), ANSWERS).drop(steps)
 
 
 def count_at(df: DataFrame, chars: str, steps: str = STEPS, out: str = "tokens_at") -> DataFrame:
@@ -87,7 +91,12 @@ def token_digest(documents: DataFrame, path: str, limit: int) -> DataFrame:
     """Size and token count of every text, and how much of it fits the limit."""
     rows = documents.select("doc_id", text_of("text").alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = answers(with_prefix_counts(rows, "text", path).drop("text"), limit)
+
+    def work(columns: list[list]) -> list[list]:
+        # The tables of prefixes are made and read in one go; they needn't leave the task.
+        return answered(counter(path).steps([t or "" for t in columns[0]]), limit)
+
+    counted = append_columns(rows, ["text"], work, ANSWERS)
     return counted.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fitting_chars"
     )
