@@ -57,9 +57,13 @@ def map_slices(df: DataFrame, work: Callable[[list[list]], list[list]], schema:
 
 
 def append_columns(df: DataFrame, inputs: list[str], work: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
-    """Like ``map_slices``, row by row: every column of ``df`` stays and those of ``schema`` follow."""
+    """Like ``map_slices``, row by row: every column of ``df`` stays and those of ``schema`` follow.
+
+    A column that has the name of a new one is replaced.
+    """
     from pyspark.sql.types import StructType
 
+    df = df.drop(*(f.name for f in _fields(schema) if f.name not in inputs))
     names = [*df.columns, *(x.name for x in _fields(schema))]
     kinds = _arrow(schema)
     places = [df.columns.index(c) for c in inputs]
@@ -75,6 +79,14 @@ def append_columns(df: DataFrame, inputs: list[str], work: Callable[[list[list]]
     return df.mapInArrow(run, StructType([*df.schema.fields, *_fields(schema)]))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _fields(schema: str):
     from pyspark.sql.types import StructType
 

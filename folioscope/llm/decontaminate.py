@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_slices
+from .common import append_columns, fresh, map_slices
 from .shingles import windows, word_hashes
 
 K1, B = 1.2, 0.75
@@ -226,12 +226,13 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, share:
 def without_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, share: float = 0.8) -> DataFrame:
     """The documents that hold no test item; nothing is shuffled."""
     kept, names = documents, documents.columns
+    searched, clean = fresh(documents, "_searched"), fresh(documents, "_clean")
     for shared in _indexes(items):
 
         def work(columns: list[list], shared=shared) -> list[list]:
             index = _index(shared)
             return [[not index.matches(t, threshold, share) for t in columns[0]]]
 
-        raw = kept.withColumn("_searched", F.col("text").cast("string").cast("binary"))
-        kept = append_columns(raw, ["_searched"], work, "_clean boolean").filter("_clean").select(*names)
+        raw = kept.withColumn(searched, F.col("text").cast("string").cast("binary"))
+        kept = append_columns(raw, [searched], work, f"`{clean}` boolean").filter(F.col(clean)).select(*names)
     return kept

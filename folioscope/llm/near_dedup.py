@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, written
+from .common import cut, fresh, map_slices, written
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -270,8 +270,9 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int =
     Of equal rows one stays. Rows without an id can't be told apart and stay.
     """
     found = near_duplicates(documents, width, percent).filter("kept")
-    ids = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
-    joined = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = (F.col("_rows") == 1) | F.col("_id").isNull()
+    own, rows = fresh(documents, "_id"), fresh(documents, "_rows")
+    ids = cut(found.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows)))
+    joined = documents.join(ids, F.col("doc_id").eqNullSafe(F.col(own)))
+    single = (F.col(rows) == 1) | F.col(own).isNull()
     once = joined.filter(single).select(documents.columns)
     return once.union(joined.filter(~single).select(documents.columns).dropDuplicates(["doc_id", "text"]))

@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 DEFAULT_KEY = "pseudonym key of a test"
 
@@ -303,29 +305,29 @@ def _changed(found: Column, key: str, back: bool) -> Column:
     return made
 
 
-def _replaced(df: DataFrame, text: str, key: str, back: bool) -> DataFrame:
-    found = F.regexp_extract_all(F.col(text), F.lit(EVERY), F.lit(0))
-    marked = df.withColumn("_found", found)
-    changed = marked.withColumn("_changed", F.when(
-        F.size("_found") > 0, F.transform("_found", lambda x: _changed(x, key, back))
-    ))
+def _replaced(df: DataFrame, text: str, key: str, back: bool, count: str | None = None) -> DataFrame:
+    names = df.columns
+    found, changed = fresh(df, "_found"), fresh(df, "_changed")
+    marked = df.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(EVERY), F.lit(0)))
+    any_found = F.size(found) > 0
+    made = marked.withColumn(changed, F.when(any_found, F.transform(found, lambda x: _changed(x, key, back))))
     parts = F.split(F.col(text), EVERY, -1)
     joined = F.concat(
         F.element_at(parts, 1),
-        F.array_join(F.zip_with("_changed", F.slice(parts, F.lit(2), F.size("_found")), lambda a, b: F.concat(a, b)), ""),
+        F.array_join(F.zip_with(changed, F.slice(parts, F.lit(2), F.size(found)), lambda a, b: F.concat(a, b)), ""),
     )
-    return changed.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(F.col(text)))
+    out = [F.when(any_found, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in names if c != count]
+    if count:
+        differ = F.filter(F.zip_with(found, changed, lambda a, b: a != b), lambda x: x)
+        out.append(F.when(any_found, F.size(differ)).otherwise(0).alias(count))
+    return made.select(*out)
 
 
 def pseudonymised(df: DataFrame, text: str = "text", key: str = DEFAULT_KEY, count: str | None = None) -> DataFrame:
     """The table with pseudonyms in column ``text``; ``count`` names a column for how many values were replaced."""
-    made = _replaced(df, text, key, back=False)
-    if count:
-        differ = F.filter(F.zip_with("_found", "_changed", lambda a, b: a != b), lambda x: x)
-        made = made.withColumn(count, F.coalesce(F.greatest(F.size(differ), F.lit(0)), F.lit(0)))
-    return made.drop("_found", "_changed")
+    return _replaced(df.withColumn(text, F.col(text).cast("string")), text, key, False, count)
 
 
 def restored(df: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """The table with permuted values turned back under the key."""
-    return _replaced(df, text, key, back=True).drop("_found", "_changed")
+    return _replaced(df, text, key, back=True)

@@ -30,7 +30,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, append_columns, bounded, cut, map_slices, worker_cache
+from .common import SLICE_ROWS, append_columns, bounded, cut, fresh, map_slices, worker_cache
 
 #: Most labelled rows used to fit, taken by a hash of their id.
 FIT_ROWS = 20_000
@@ -246,7 +246,9 @@ def fit(documents: DataFrame, labels: DataFrame, model) -> tuple[dict[str, int],
     return wanted, fitted.coefficients.toArray(), float(fitted.intercept)
 
 
-def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def score(
+    documents: DataFrame, labels: DataFrame, threshold: float = 0.3, out: str = "toxicity", flag: str = "is_toxic"
+) -> DataFrame:
     """Every document with its score and whether it reaches the threshold; other columns stay."""
     context = documents.sparkSession.sparkContext
     model = context.broadcast(log_model(character_counts(documents.select(F.col("text").cast("string")))))
@@ -261,6 +263,7 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
             scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, float(z))))))
         return [scores]
 
-    plain = documents.withColumn("_scored_text", F.col("text").cast("string"))
-    scored = append_columns(plain, ["_scored_text"], work, "toxicity double").drop("_scored_text")
-    return scored.withColumn("is_toxic", F.col("toxicity") >= threshold)
+    scored_text = fresh(documents, "_scored_text")
+    plain = documents.withColumn(scored_text, F.col("text").cast("string"))
+    scored = append_columns(plain, [scored_text], work, f"`{out}` double").drop(scored_text)
+    return scored.withColumn(flag, F.col(out) >= threshold)
