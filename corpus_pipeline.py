@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, near_dedup, packing, pseudonyms, tokens, toxicity
+from folioscope.llm.common import fresh
 from folioscope.session import shared_dir
 
 SEQUENCE_TOKENS = 2048
@@ -20,7 +21,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels).filter(~F.col("is_toxic")).select(docs.columns)
+    score, flag = fresh(docs, "_toxicity"), fresh(docs, "_is_toxic")
+    return toxicity.score(docs, labels, out=score, flag=flag).filter(~F.col(flag)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
