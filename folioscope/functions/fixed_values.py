@@ -103,9 +103,7 @@ UNREADABLE_EXTENSIONS = (
 )
 
 # Limits.
-READER_TEXT_LIMIT = 100_000
 FEATURE_TEXT_LIMIT = 5_000
-BINARY_SCAN_LIMIT = 400_000
 SCAN_BATCH_FILES = 200
 PAGE_SIZE = 50
 SPLIT_SEED = 42

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .fixed_values import mime_compound_suffixes, mime_encodings
 
 
+# A scheme and its authority in front of an absolute path.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*"
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -21,12 +25,17 @@ def _parts(path: Column) -> Column:
 
 
 def canonical(path: Column | str) -> Column:
-    """Drop doubled slashes, ``.`` segments and a trailing slash; '' becomes '.'."""
+    """Drop doubled slashes, ``.`` segments and a trailing slash; '' becomes '.'.
+
+    A scheme and its authority, as in ``hdfs://host/a``, stay as they are.
+    """
     path = _col(path)
-    body = F.array_join(_parts(path), "/")
-    absolute = F.concat(F.lit("/"), body)
+    scheme = F.regexp_extract(path, SCHEME, 0)
+    rest = F.substring(path, F.length(scheme) + 1, F.length(path))
+    body = F.array_join(_parts(rest), "/")
+    absolute = F.concat(scheme, F.lit("/"), body)
     relative = F.when(body == "", ".").otherwise(body)
-    return F.when(path.startswith("/"), absolute).otherwise(relative)
+    return F.when(rest.startswith("/") | (scheme != ""), absolute).otherwise(relative)
 
 
 def file_name(path: Column | str) -> Column:
@@ -77,20 +86,21 @@ def resolve(path: Column | str, base: Column | str) -> Column:
     ``base`` is a column or column name.
     """
     path, base = _col(path), _col(base)
-    full = F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path))
+    full = F.when(path.startswith("/") | path.rlike(SCHEME), path).otherwise(F.concat(base, F.lit("/"), path))
+    scheme = F.regexp_extract(full, SCHEME, 0)
     folded = F.aggregate(
-        _parts(full),
+        _parts(F.substring(full, F.length(scheme) + 1, F.length(full))),
         F.array().cast("array<string>"),
         lambda kept, part: F.when(
             part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
         ).otherwise(F.array_append(kept, part)),
     )
-    return F.concat(F.lit("/"), F.array_join(folded, "/"))
+    return F.concat(scheme, F.lit("/"), F.array_join(folded, "/"))
 
 
 def depth(path: Column | str) -> Column:
     """Number of parts; the root counts one in an absolute path."""
-    path = _col(path)
+    path = F.regexp_replace(_col(path), SCHEME, "")
     return F.size(_parts(path)) + F.when(path.startswith("/"), 1).otherwise(0)
 
 

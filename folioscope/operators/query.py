@@ -75,9 +75,11 @@ class CatalogFilter:
             parts.append(listed | extension.isNull() if blank else listed)
         if self.subfolder_contains:
             target = F.col(folded) if folded else fold_case(subfolder)
+            found = contains_nocase(target, self.subfolder_contains, self.literal)
             if self.null_as_blank:
-                target = F.coalesce(target, F.lit("/"))
-            parts.append(contains_nocase(target, self.subfolder_contains, self.literal))
+                blank = contains_nocase(F.lit("/"), self.subfolder_contains, self.literal)
+                found = found | (target.isNull() & blank)
+            parts.append(found)
         return reduce(and_, parts, F.lit(True))
 
     def apply(self, files: DataFrame) -> DataFrame:
@@ -122,12 +124,27 @@ def page(
     return ranked.filter(wanted).orderBy("_position").drop("_position")
 
 
-def page_after(df: DataFrame, keys: Sequence[str], last: Sequence[object], size: int = PAGE_SIZE) -> DataFrame:
-    """Next page by ascending, non-NULL ``keys`` after the ``last`` row seen."""
+def page_after(
+    df: DataFrame, keys: Sequence[str], last: Sequence[object], size: int = PAGE_SIZE,
+    descending: Sequence[str] = (),
+) -> DataFrame:
+    """Next page by ``keys`` after the ``last`` row seen.
+
+    Keys ascend with NULL first, or descend with NULL last where they are named
+    in ``descending``, as Spark orders them.
+    """
     later = F.lit(False)
     for name, value in reversed(list(zip(keys, last, strict=True))):
-        later = (F.col(name) > value) | ((F.col(name) == value) & later)
-    return df.filter(later).orderBy(*keys).limit(size)
+        column = F.col(name)
+        if value is None:
+            beyond = F.lit(False) if name in descending else column.isNotNull()
+            later = beyond | (column.isNull() & later)
+        elif name in descending:
+            later = (column < value) | column.isNull() | ((column == value) & later)
+        else:
+            later = (column > value) | ((column == value) & later)
+    order = [F.desc(k) if k in descending else F.asc(k) for k in keys]
+    return df.filter(later).orderBy(*order).limit(size)
 
 
 def page_total(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:

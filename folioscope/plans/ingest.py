@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import canonical
+from ..functions.paths import canonical, extension_key, file_name
 from ..functions.text import is_blank
 from ..operators.stats import ingest_stats
 from ..operators.upsert import replace_content, replace_labels, upsert
-from ..session import checkpointed
+from ..session import checkpointed, small_keys
 from ..sources.extract import Extractor, reader_text
 from ..sources.tables import ingest_list
 from ..sources.tree import content_hash, path_status
@@ -60,15 +60,22 @@ def ingest(
         F.count(F.lit(1)).alias("times"),
         F.max_by(F.coalesce("business_category", F.lit("")), F.col(order)).alias("business_category"),
     )
-    status = path_status(per_path.filter("path IS NOT NULL"), listing)
-    hashed = (
-        content_hash(status) if compute_hash else status.withColumn("sha1", F.lit(None).cast("string"))
-    )
+    wanted = per_path.filter("path IS NOT NULL")
+    # Texts and hashes are made where the files are read; bytes of files are never shuffled.
+    found = listing.withColumn("path", canonical("path"))
+    few = small_keys(wanted.select("path"))
+    if few is not None:
+        found = found.join(few, "path", "left_semi")
+    named = found.withColumn("_kind", extension_key(file_name("path")))
+    read = reader_text(named, extension="_kind", extractors=extractors, error="extract_error")
+    hashed = content_hash(read) if compute_hash else read.withColumn("sha1", F.lit(None).cast("string"))
+    parsed = path_status(wanted, hashed.drop("content", "_kind"))
     unknown = {
-        c: F.lit(None).cast("timestamp") for c in ("created_ts", "modified_ts") if c not in hashed.columns
+        c: F.lit(None).cast("timestamp") for c in ("created_ts", "modified_ts") if c not in parsed.columns
     }
-    parsed = reader_text(hashed, extractors=extractors).drop("content")
-    parsed = parsed.withColumns({**unknown, "file_id": file_id()})
+    parsed = parsed.withColumns(
+        {**unknown, "file_id": file_id(), "content_text": F.coalesce("content_text", F.lit(""))}
+    )
     if materialise:
         parsed = checkpointed(parsed)
     batches = (
@@ -78,14 +85,14 @@ def ingest(
     )
     files, labels, content = tables or tuple(batch.limit(0) for batch in batches)
     missing = per_path.filter("path IS NULL").select(
-        "path", "times", F.lit("").alias("content_text")
+        "path", "times", F.lit("").alias("content_text"), F.lit(None).cast("string").alias("extract_error")
     )
     return Ingested(
         files=upsert(files, batches[0], ["path"], None),
         labels=replace_labels(labels, batches[1], None),
         content=replace_content(content, batches[2], None),
         stats=ingest_stats(
-            parsed.select("path", "times", "content_text").unionByName(missing),
-            "path", "content_text", times="times",
+            parsed.select("path", "times", "content_text", "extract_error").unionByName(missing),
+            "path", "content_text", error="extract_error", times="times",
         ),
     )

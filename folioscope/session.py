@@ -28,6 +28,7 @@ def get_session(app_name: str = "folioscope", master: str | None = None, **conf:
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     defaults.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in defaults.items():
@@ -49,6 +50,8 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="folioscope-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local

@@ -19,38 +19,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import (
-    BINARY_SCAN_LIMIT,
     CODEC_EXTENSIONS,
     FEATURE_TEXT_EXTENSIONS,
-    FEATURE_TEXT_LIMIT,
     HTML_EXTENSIONS,
     READER_TEXT_EXTENSIONS,
-    READER_TEXT_LIMIT,
 )
 from ..functions.text import normalise, strip_html, unix_newlines, valid_utf8
 
 Extractor = Callable[[bytes], str]
+# Attributes that name things in a workbook.
 WORKBOOK_ATTRIBUTES = ("name", "caption", "label", "value")
 
 
-def _joined(pieces: Iterable[str], limit: int) -> str:
-    """Lines up to ``limit`` characters; reading stops once they are reached."""
+def _joined(pieces: Iterable[str], limit: int | None) -> str:
+    """Lines, up to ``limit`` characters where there is one; reading stops once they are reached."""
     kept, length = [], -1
     for piece in pieces:
         kept.append(piece)
         length += len(piece) + 1
-        if length > limit:
+        if limit is not None and length > limit:
             break
     return "\n".join(kept)[:limit]
 
 
-def csv_text(content: bytes, limit: int = READER_TEXT_LIMIT) -> str:
+def csv_text(content: bytes, limit: int | None = None) -> str:
     """Cells joined by ', ' and rows by line feeds; empty cells are left out."""
     source = io.StringIO(content.decode("utf-8", "ignore"), newline="")
     return _joined((", ".join(c.strip() for c in row if c) for row in csv.reader(source)), limit)
 
 
-def workbook_text(content: bytes, limit: int = READER_TEXT_LIMIT) -> str:
+def workbook_text(content: bytes, limit: int | None = None) -> str:
     """Element texts and naming attributes of a workbook in document order."""
 
     def pieces() -> Iterable[str]:
@@ -62,7 +60,7 @@ def workbook_text(content: bytes, limit: int = READER_TEXT_LIMIT) -> str:
     return _joined(pieces(), limit)
 
 
-def packed_workbook_text(content: bytes, limit: int = READER_TEXT_LIMIT) -> str:
+def packed_workbook_text(content: bytes, limit: int | None = None) -> str:
     """Text of the first workbook inside a zip archive, '' without one."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         inner = next((n for n in archive.namelist() if n.endswith(".twb")), None)
@@ -76,22 +74,24 @@ PARSERS: dict[str, Extractor] = {
 }
 
 
-def _parsed(content: Column, extension: Column, parsers: Mapping[str, Extractor], limit: int) -> Column:
-    """Run the parser of each extension; any failure gives ''."""
+def _parsed(content: Column, extension: Column, parsers: Mapping[str, Extractor]) -> Column:
+    """``text`` and ``error`` of the parser of each extension; a failure gives '' and what went wrong."""
     table = dict(parsers)
 
-    @F.pandas_udf(T.StringType())
-    def parse(contents: pd.Series, extensions: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.StructType().add("text", "string").add("error", "string"))
+    def parse(contents: pd.Series, extensions: pd.Series) -> pd.DataFrame:
         texts: list[str | None] = []
+        errors: list[str | None] = []
         for raw, kind in zip(contents, extensions, strict=True):
-            if raw is None:
-                texts.append(None)
-                continue
-            try:
-                texts.append((table[kind](bytes(raw)) or "")[:limit])
-            except Exception:  # a damaged file must not fail the job
-                texts.append("")
-        return pd.Series(texts, dtype=object)
+            text, error = None, None
+            if raw is not None:
+                try:
+                    text = table[kind](bytes(raw)) or ""
+                except Exception as exc:  # a damaged file must not fail the job
+                    text, error = "", f"{type(exc).__name__}: {exc}"
+            texts.append(text)
+            errors.append(error)
+        return pd.DataFrame({"text": texts, "error": errors}, dtype=object)
 
     wanted = extension.isin(*table)
     return parse(F.when(wanted, content), extension)
@@ -101,38 +101,47 @@ def plain_text(content: Column | str) -> Column:
     return unix_newlines(valid_utf8(content))
 
 
-def binary_strings(content: Column | str) -> Column:
-    """Printable ASCII runs of four or more in the first bytes of a binary."""
+def binary_strings(content: Column | str, limit: int | None = None) -> Column:
+    """Printable ASCII runs of four or more, in the first ``limit`` bytes where there is a limit."""
     column = F.col(content) if isinstance(content, str) else content
-    head = F.decode(F.substring(column, 1, BINARY_SCAN_LIMIT), "ISO-8859-1")
+    head = F.decode(column if limit is None else F.substring(column, 1, limit), "ISO-8859-1")
     return F.array_join(F.regexp_extract_all(head, F.lit(r"([\x20-\x7E]{4,})"), F.lit(0)), "\n")
 
 
+def _cut(text: Column, limit: int | None) -> Column:
+    filled = F.coalesce(text, F.lit(""))
+    return filled if limit is None else F.substring(filled, 1, limit)
+
+
 def reader_text(
     files: DataFrame, content: str = "content", extension: str = "extension",
     out: str = "content_text", extractors: Mapping[str, Extractor] | None = None,
+    limit: int | None = None, error: str | None = None,
 ) -> DataFrame:
     """Add the text of each file, '' where the format is not supported or the file is damaged.
 
-    ``extractors`` adds or replaces parsers by extension.
+    ``extractors`` adds or replaces parsers by extension. Texts are whole unless
+    there is a ``limit``. ``error`` names a column for what a parser failed with.
     """
     parsers = {**PARSERS, **(extractors or {})}
     raw, kind = F.col(content), F.lower(F.coalesce(F.col(extension), F.lit("")))
     native = [e for e in READER_TEXT_EXTENSIONS if e not in parsers]
-    chosen = F.when(kind.isin(*parsers), _parsed(raw, kind, parsers, READER_TEXT_LIMIT)).when(
-        kind.isin(*native), plain_text(raw)
-    )
+    parsed = files.withColumn("_parsed", _parsed(raw, kind, parsers))
+    chosen = F.when(kind.isin(*parsers), F.col("_parsed.text")).when(kind.isin(*native), plain_text(raw))
     if "dll" not in parsers:
         chosen = chosen.when(kind == "dll", binary_strings(raw))
-    text = F.substring(F.coalesce(chosen, F.lit("")), 1, READER_TEXT_LIMIT)
-    return files.withColumn(out, text)
+    made = parsed.withColumn(out, _cut(chosen, limit))
+    if error:
+        made = made.withColumn(error, F.col("_parsed.error"))
+    return made.drop("_parsed")
 
 
 def feature_text(
     files: DataFrame, content: str = "content", extension: str = "extension",
     out: str = "content_text", extractors: Mapping[str, Extractor] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Add normalised text for features, cut to 5,000 characters.
+    """Add normalised text for features, whole unless there is a ``limit``.
 
     HTML is stripped before and after white space is collapsed. Formats that
     need a codec give '' without an extractor; all others are read as text.
@@ -146,9 +155,8 @@ def feature_text(
     )
     if parsers:
         found = F.when(
-            kind.isin(*parsers), normalise(_parsed(raw, kind, parsers, READER_TEXT_LIMIT))
+            kind.isin(*parsers), normalise(_parsed(raw, kind, parsers)["text"])
         ).otherwise(found.otherwise(normalise(plain)))
     else:
         found = found.otherwise(normalise(plain))
-    text = F.substring(F.coalesce(found, F.lit("")), 1, FEATURE_TEXT_LIMIT)
-    return files.withColumn(out, text)
+    return files.withColumn(out, _cut(found, limit))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
+from urllib.parse import unquote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +45,24 @@ def write_catalog(df: DataFrame, path: str) -> None:
 
 
 def overwrite_root(scan: DataFrame, path: str, root: str) -> None:
-    """Replace one root of a catalog; an empty scan empties it."""
-    partition = f"{path}/root_path={quote(root, safe=' ')}"
-    ready = scan.withColumn("subfolder_lc", fold_case("subfolder")).drop("root_path")
-    ready.write.mode("overwrite").parquet(partition)
+    """Replace one root of a catalog; an empty scan empties it.
+
+    Spark itself names the folder of the root, also for an empty scan, which
+    takes it from the files that hold the root now.
+    """
+    spark = scan.sparkSession
+    ready = scan.withColumn("subfolder_lc", fold_case("subfolder")).withColumn("root_path", F.lit(root))
+    if ready.isEmpty():
+        held = spark.read.parquet(path).filter(F.col("root_path") == root).select(F.input_file_name().alias("file"))
+        folders = held.select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().take(1)
+        if folders:
+            names = [c for c in ready.columns if c != "root_path"]
+            folder = unquote(folders[0].folder)
+            ready.select(*names).write.mode("overwrite").parquet(folder)
+        return
+    order = [c for c in ("extension", "subfolder") if c in ready.columns]
+    (ready.sortWithinPartitions(*order).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("root_path").parquet(path))
 
 
 def append_changes(batch: DataFrame, path: str, batch_id: int) -> None:

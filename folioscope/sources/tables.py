@@ -74,9 +74,13 @@ def _is_utf8(spark: SparkSession, path: str) -> bool:
 
 def feature_table(
     spark: SparkSession, path: str, schema: T.StructType,
-    encodings: Sequence[str] = TABLE_ENCODINGS,
+    encodings: Sequence[str] = TABLE_ENCODINGS, line_breaks: bool = True,
 ) -> DataFrame:
-    """CSV with a header in the first encoding that fits; lines with too many fields are skipped.
+    """CSV with a header in the first encoding that fits; rows with too many fields are skipped.
+
+    Quotes inside quoted fields are doubled. Quoted fields may hold line breaks;
+    such a file is read by one task, so large files without them, or cut into
+    several, are read with ``line_breaks`` off.
 
     UTF-8 is checked over the whole file. The single-byte encodings accept any
     bytes, so the first of them ends the search. Short lines keep NULLs.
@@ -92,6 +96,9 @@ def feature_table(
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", line_breaks)
         .option("encoding", names.get(fitting[0], "UTF-8"))
         .csv(path)
     )

@@ -59,7 +59,7 @@ def path_status(requested: DataFrame, listing: DataFrame, path: str = "path") ->
     ``stat_error`` text.
     """
     known = listing.select(
-        F.col("path").alias("_listed"), *[c for c in listing.columns if c != "path"]
+        paths.canonical("path").alias("_listed"), *[c for c in listing.columns if c != "path"]
     )
     name = paths.file_name("path")
     exists = F.col("_listed").isNotNull()

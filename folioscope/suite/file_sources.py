@@ -18,15 +18,6 @@ from .text_columns import normal_sql, printable_sql
 SPACE_OUT = r"regexp_replace({0}, '\r\n?', chr(10), 'g')"
 
 
-@query("scan_tree")
-def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables as files."""
-    found = tree.scan_tree(spark, sf_dir)
-    return tree.listing_columns(found, sf_dir.rstrip("/")).select(
-        "file_name", "subfolder", "extension", "size_bytes"
-    )
-
-
 @query(
     "scan_written_tree",
     """select lang, source, sum(octet_length(encode(text)) + 1)::bigint as size_bytes
@@ -137,13 +128,13 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     "extract_text",
     f"""with d as (select doc_id, lang, text, {KIND_CASE} as extension,
         regexp_replace(text, '[^A-Za-z0-9 ]+', ' ', 'g') as flat from documents)
-    select doc_id, extension, left(case extension
+    select doc_id, extension, case extension
         when 'txt' then regexp_replace(text, '\\r\\n?', chr(10), 'g')
         when 'html' then regexp_replace(text, '\\r\\n?', chr(10), 'g')
         when 'csv' then concat('lang, a, b', chr(10), lang, ', , ', trim(flat))
         when 'twb' then concat(case when trim(flat) = '' then '' else trim(flat) || chr(10) end, lang, chr(10), 'c')
-        when 'dll' then case when length(flat) >= 4 then left(flat, 399998) else '' end
-        else '' end, 100000) as content_text from d""",
+        when 'dll' then case when length(flat) >= 4 then flat else '' end
+        else '' end as content_text from d""",
 )
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.reader_text(document_files(spark, sf_dir)).drop("content")
@@ -155,10 +146,10 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select *, {normal_sql(
         "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>', ' ', 'g'),"
         " '(?is)<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")} as once from d)
-    select page_id, extension, left(case extension when 'md' then {normal_sql('html')} when 'pdf' then ''
+    select page_id, extension, case extension when 'md' then {normal_sql('html')} when 'pdf' then ''
       else {normal_sql(
         "regexp_replace(regexp_replace(regexp_replace(once, '(?is)<script.*?>.*?</script>', ' ', 'g'),"
-        " '(?is)<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")} end, 5000) as content_text from s""",
+        " '(?is)<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")} end as content_text from s""",
 )
 def extract_feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("page_id") % 3
@@ -177,17 +168,26 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KIND_SQL = f"ltrim(lower({SUFFIX_SQL.format('file_name')}), '.')"
+# CSV files hold cells, archives are damaged ones, and all others are the document itself.
+BYTES_SQL = f"case when {KIND_SQL} = 'csv' then concat(file_name, ', ,', flat, chr(10)) else content_text end"
+
 INGEST_SQL = f"""{FILES_SQL}, listed as (
       select file_id * 2 as place, case when file_id % 13 = 0 then '  ' when file_id % 6 = 0 then concat(path, '.gone') else path end as path,
              business_capability as label from files
       union all select file_id * 2 + 1, path, '' from files where file_id % 10 = 3
     ), present as (select * from listed where trim(path) <> ''),
     newest as (select * from present qualify row_number() over (partition by path order by place desc) = 1),
+    flattened as (select *, {FLAT.format('content_text')} as flat, {KIND_SQL} as kind from catalog),
+    bodies as (select *, {BYTES_SQL} as body from flattened),
     texts as (select n.path, n.label, c.path is not null as exists_flag, c.size_bytes,
-      left(case when ltrim(lower({SUFFIX_SQL.format("string_split(n.path, '/')[-1]")}), '.') in ('txt', 'html')
-        then regexp_replace(coalesce(c.content_text, ''), '\\r\\n?', chr(10), 'g') else '' end, 100000) as content_text,
-      case when c.path is not null then sha1(c.content_text) end as sha1
-      from newest n left join catalog c on c.path = n.path)"""
+      case when c.kind in ('txt', 'html') then regexp_replace(coalesce(c.body, ''), '\\r\\n?', chr(10), 'g')
+        when c.kind = 'csv' then concat(c.file_name, ', , ', trim(flat))
+        when c.kind = 'dll' then array_to_string(regexp_extract_all(c.body, '[ -~]{{4,}}'), chr(10))
+        else '' end as content_text,
+      c.path is not null and c.kind = 'twbx' as failed,
+      case when c.path is not null then sha1(c.body) end as sha1
+      from newest n left join bodies c on c.path = n.path)"""
 
 
 def _ingest(spark: SparkSession, sf_dir: str, materialise: bool = False) -> Ingested:
@@ -207,15 +207,10 @@ def _ingest(spark: SparkSession, sf_dir: str, materialise: bool = False) -> Inge
     listing = catalog_files(spark, sf_dir).drop("modified_epoch").withColumn(
         "modified_ts", F.lit(None).cast("timestamp")
     )
-    # CSV and workbook parsing has its own query; documents are not of these formats.
-    silent = {kind: _no_text for kind in ("csv", "twbx", "dll")}
-    return ingest(
-        first.unionByName(second), listing, "place", extractors=silent, materialise=materialise
-    )
-
-
-def _no_text(content: bytes) -> str:
-    return ""
+    kind, flat = paths.extension_key(paths.file_name("path")), F.regexp_replace(F.decode("content", "UTF-8"), "[^A-Za-z0-9 ]+", " ")
+    cells = F.encode(F.concat(paths.file_name("path"), F.lit(", ,"), flat, F.lit("\n")), "UTF-8")
+    listing = listing.withColumn("content", F.when(kind == "csv", cells).otherwise(F.col("content")))
+    return ingest(first.unionByName(second), listing, "place", materialise=materialise)
 
 
 @query(
@@ -246,9 +241,11 @@ def ingest_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ingest_counters",
-    f"""{INGEST_SQL} select count(*) filter (where trim(l.path) <> '') as inserted, 0::bigint as errors,
-      count(*) filter (where trim(l.path) <> '' and t.content_text = '') as empty_text,
-      count(*) filter (where trim(l.path) = '') as skipped_missing, count(distinct t.path) as distinct_files
+    f"""{INGEST_SQL} select count(*) filter (where trim(l.path) <> '' and not failed) as inserted,
+      count(*) filter (where failed) as errors,
+      count(*) filter (where trim(l.path) <> '' and not failed and t.content_text = '') as empty_text,
+      count(*) filter (where trim(l.path) = '') as skipped_missing,
+      count(distinct t.path) filter (where not failed) as distinct_files
     from listed l left join texts t on t.path = l.path""",
 )
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +261,10 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), r as (select *, {FOLD_SQL.format('p')} as resolved_path from raw),
     n as (select *, string_split(resolved_path, '/')[-1] as file_name from r),
     j as (select n.*, c.path is not null as found, c.size_bytes, c.modified_epoch,
-      left(case when c.path is null then ''
+      case when c.path is null then ''
         when regexp_matches(lower(n.file_name), '.\\.(pdf|docx|pptx|xlsx|msg|sas7bdat)$') then ''
         when lower({SUFFIX_SQL.format('n.file_name')}) = '.html' then {normal_sql("regexp_replace(c.content_text, '<[^>]+>', ' ', 'g')")}
-        else {normal_sql('c.content_text')} end, 5000) as content_text
+        else {normal_sql('c.content_text')} end as content_text
       from n left join catalog c on c.path = n.resolved_path)
     select file_id, resolved_path, original_file_path, lower({SUFFIX_SQL.format('file_name')}) as extension,
       coalesce(family, 'other') as extension_family, {KEYWORDS_SQL.format('resolved_path')} as path_keywords,

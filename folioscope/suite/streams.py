@@ -14,8 +14,9 @@ from .run_ledger import COLUMNS, LEDGER_SQL, RUNS_SQL, SELECT, ledger_of
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream; the pattern matches a single file and a folder of part files."""
     schema = table(spark, sf_dir, "events").schema
-    return scans.read_files(spark, sf_dir, schema, "events.parquet", 1)
+    return scans.read_files(spark, f"{sf_dir}/events.parquet*", schema, "*.parquet", 1)
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> str:

@@ -14,7 +14,7 @@ from .text_columns import words_sql
 VOCABULARY_SQL = f"""with t as (select doc_id, unnest({words_sql('text')}) as term from documents),
     s as (select term, count(*) as cf, count(distinct doc_id) as df from t group by term),
     v as (select *, ln((1.0::double + (select count(*) from documents)) / (1.0::double + df)) + 1.0::double as idf
-          from s where df >= 2 order by cf desc, term limit 3000)"""
+          from s where df >= 2)"""
 
 
 @query(
@@ -23,7 +23,7 @@ VOCABULARY_SQL = f"""with t as (select doc_id, unnest({words_sql('text')}) as te
 )
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", tfidf.terms("text").alias("terms"))
-    kept = tfidf.vocabulary(tfidf.term_statistics(docs, "terms"), docs.count(), 3000, 2)
+    kept = tfidf.vocabulary(tfidf.term_statistics(docs, "terms"), docs.count(), None, 2)
     return kept.withColumn("idf", F.round("idf", 6))
 
 
@@ -35,7 +35,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", tfidf.terms("text").alias("terms"))
-    rows = tfidf.tfidf_vectors(docs, "doc_id", "terms", 3000, 2)
+    rows = tfidf.tfidf_vectors(docs, "doc_id", "terms", None, 2)
     return rows.withColumn("weight", F.round("weight", 6))
 
 

@@ -35,8 +35,8 @@ FILES = {
     "i.HTM": (b"<b>x</b>", "<b>x</b>"),
     "j.twbx": (b"not a zip", ""),
     "noext": (b"text", ""),
-    "long.md": (b"y" * 150_000, "y" * 100_000),
-    "long.csv": (b"abc\n" * 60_000, ("abc\n" * 60_000)[:100_000]),
+    "long.md": (b"y" * 150_000, "y" * 150_000),
+    "long.csv": (b"abc\n" * 60_000, ("abc\n" * 60_000)[:-1]),
 }
 
 
@@ -81,7 +81,9 @@ def test_extractor_hook(spark, root):
 def test_feature_text(spark, root):
     got = {r.file_name: r.content_text for r in extract.feature_text(listed(spark, root)).collect()}
     assert got["a.txt"] == "hi x" and got["i.HTM"] == "x" and got["noext"] == "text" and got["h.pdf"] == ""
-    assert len(got["long.md"]) == 5000
+    assert len(got["long.md"]) == 150_000
+    cut = extract.feature_text(listed(spark, root), limit=5000)
+    assert {r.file_name: len(r.content_text) for r in cut.collect()}["long.md"] == 5000
     hooked = extract.feature_text(listed(spark, root), extractors={"pdf": lambda b: " p \n q "})
     assert {r.file_name: r.content_text for r in hooked.collect()}["h.pdf"] == "p q"
 
@@ -149,6 +151,9 @@ def test_feature_table_encodings(spark, tmp_path):
     assert tables.feature_table(spark, str(tmp_path / "l.csv"), schema).first().a == "é"
     with pytest.raises(ValueError, match="none of"):
         tables.feature_table(spark, str(tmp_path / "l.csv"), schema, ("utf-8",))
+    (tmp_path / "q.csv").write_text('a,n\n"say ""hi"", ok",1\n"two\nlines",2\n', encoding="utf-8")
+    got = tables.feature_table(spark, str(tmp_path / "q.csv"), schema).collect()
+    assert [tuple(r) for r in got] == [('say "hi", ok', 1.0), ("two\nlines", 2.0)]
 
 
 def test_catalog_sink_replaces_one_root(spark, tmp_path):
@@ -174,6 +179,33 @@ def test_catalog_sink_replaces_one_root(spark, tmp_path):
     assert [r.path for r in spark.read.parquet(path).collect()] == ["/srv/B/y"]
 
 
+@pytest.mark.parametrize("root", ["/srv/Müller", "/srv/a&b (ü)", "/srv/x(1)=%20", "plain"])
+def test_root_names_survive_overwriting(spark, tmp_path, root):
+    path, schema = str(tmp_path / "catalog"), "root_path string, path string, subfolder string, extension string"
+    sinks.write_catalog(spark.createDataFrame([(root, "old", "s", "txt"), ("/srv/B", "y", "/", "csv")], schema), path)
+    new = spark.createDataFrame([(root, "new", "q", "md")], schema)
+    sinks.overwrite_root(new, path, root)
+    assert {(r.root_path, r.path) for r in spark.read.parquet(path).collect()} == {(root, "new"), ("/srv/B", "y")}
+    sinks.overwrite_root(new.limit(0), path, root)
+    assert {(r.root_path, r.path) for r in spark.read.parquet(path).collect()} == {("/srv/B", "y")}
+
+
+def test_paths_with_a_scheme(spark):
+    listing = spark.createDataFrame([("hdfs://nn:8020/a/b.txt", 3), ("/c.md", 4)], "path string, size_bytes long")
+    asked = spark.createDataFrame([("hdfs://nn:8020//a/./b.txt",), ("hdfs://nn:8020/gone",), ("//c.md",)], "path string")
+    got = {r.path: (r.exists_flag, r.size_bytes, r.folder) for r in tree.path_status(asked, listing).collect()}
+    assert got == {"hdfs://nn:8020/a/b.txt": (True, 3, "hdfs://nn:8020/a"), "hdfs://nn:8020/gone": (False, None, "hdfs://nn:8020"),
+                   "/c.md": (True, 4, "/")}
+
+
+def test_ingest_counts_errors(spark, root):
+    listing = tree.scan_tree(spark, root, with_content=True)
+    rows = spark.createDataFrame([(i, f"{root}/{p}", "L") for i, p in enumerate(["a.txt", "deep/er/j.twbx", "deep/er/d.twb", "gone"])],
+                                 "n int, path string, business_category string")
+    done = ingest(rows, listing, "n", materialise=False)
+    assert done.stats.first().errors == 2
+
+
 def test_report_and_feature_sinks(spark, tmp_path):
     rows = spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("split"))
     sinks.write_features(rows, str(tmp_path / "f"), csv=True)
