@@ -10,6 +10,12 @@ lines that are too short to count; a passage of at least ``LEAST_PASSAGE`` words
 is reported. The first paragraph of a cluster, by document and line, stays and
 the others are to be removed.
 
+A passage may also stand inside a longer line. So lines of several sentences are
+cut into these, equal sentences of several documents are a cluster, and a run of
+them of at least ``LEAST_RUN`` words is reported too: a passage that begins in
+the middle of a foreign sentence lacks its first one. Sentences of a few words
+aren't looked up and don't break a run. What lines have reported isn't repeated.
+
 A NULL or empty text has no paragraphs. Repeated rows of a document are one
 document, so they alone make no cluster, but each has its own rows.
 """
@@ -28,6 +34,8 @@ from .shingles import ODD, mixed, windows, word_hashes
 
 WIDTH, PERCENT, RECALL = 5, 80, 0.999
 LEAST_LINE, LEAST_PASSAGE = 8, 45
+LEAST_SENTENCE, LEAST_RUN = 6, 24
+ENDS = (b".", b"!", b"?")
 MOST_KEYS = 24
 BUCKET_ROWS = 1_000
 
@@ -142,8 +150,67 @@ def _links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     return grouped_links(dealt, ["key", "low", "high"], _set_links)
 
 
+def sentences(documents: DataFrame) -> DataFrame:
+    """Sentences, with their places among those that count in their document, of lines that have several."""
+
+    def work(columns: list[list]) -> list[list]:
+        out: list[list] = [[] for _ in range(6)]
+        for doc, text in zip(*columns):
+            place = 0
+            for number, words in _lines(text):
+                ends = [i for i, w in enumerate(words, 1) if w.endswith(ENDS)]
+                if not ends or ends[-1] != len(words):
+                    ends.append(len(words))
+                start = 0
+                for sentence, end in enumerate(ends):
+                    if end - start >= LEAST_SENTENCE:
+                        # A line of one sentence is a paragraph already, yet it may lie inside a run.
+                        for to, x in zip(out, (doc, number, sentence, place, end - start, _node(words[start:end]))):
+                            to.append(x)
+                        place += 1
+                    start = end
+        return out
+
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    return map_slices(rows, work, "doc_id bigint, line int, sentence int, place int, n_words int, node bigint")
+
+
+def _with_passages(found: DataFrame, least: int) -> DataFrame:
+    """Rows that follow one another in their document, where they have at least so many words together."""
+    own = Window.partitionBy("doc_id")
+    runs = found.withColumn("run", F.col("place") - F.dense_rank().over(own.orderBy("place")))
+    whole = runs.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    return whole.filter(F.col("passage_words") >= least)
+
+
+def _repeated_sentences(documents: DataFrame) -> DataFrame:
+    cut_up = written(sentences(documents), "sentences")
+    several = cut(cut_up.groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies")
+    ).filter("low < high").select("node", "copies"))
+    found = cut(_with_passages(cut_up.join(several, "node"), LEAST_RUN))
+    # The first occurrence is looked for among those that are reported.
+    first = found.groupBy("node").agg(F.min(F.struct("doc_id", "line", "sentence")).alias("first"))
+    return found.join(cut(first), "node").select(
+        "doc_id", "line", "sentence", "n_words", "passage_words", F.col("node").alias("cluster"), "copies",
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"),
+        (F.struct("doc_id", "line", "sentence") != F.col("first")).alias("removed"),
+    )
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
-    """Every paragraph of a passage that several documents share, its cluster, and whether it is to go."""
+    """Every repeated line or sentence of a shared passage, its cluster, and whether it is to go.
+
+    ``sentence`` is NULL where a whole line is meant.
+    """
+    lines = cut(repeated_lines(documents))
+    inside = _repeated_sentences(documents).join(lines.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti")
+    whole = lines.withColumn("sentence", F.lit(None).cast("int"))
+    return whole.unionByName(inside)
+
+
+def repeated_lines(documents: DataFrame) -> DataFrame:
+    """Every paragraph of a passage of whole lines that several documents share."""
     signed = written(signed_lines(documents), "lines")
     linked = cut(connected_components(_links(documents, signed), "a", "b"))
     lines = signed.select("doc_id", "line", "place", "n_words", "node")
@@ -158,10 +225,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     ).filter("low < high")
     labels = cut(rooted.select("node", "root").join(clusters, "root").select("node", "root", "copies", "first"))
     found = lines.join(labels, "node")
-    own = Window.partitionBy("doc_id")
-    runs = found.withColumn("run", F.col("place") - F.dense_rank().over(own.orderBy("place")))
-    whole = runs.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    return whole.filter(F.col("passage_words") >= LEAST_PASSAGE).select(
+    return _with_passages(found, LEAST_PASSAGE).select(
         "doc_id", "line", "n_words", "passage_words", F.col("root").alias("cluster"), "copies",
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"),
         (F.struct("doc_id", "line") != F.col("first")).alias("removed"),

@@ -36,7 +36,7 @@ def expected(rows):
 
 
 def found(df):
-    return {(r.doc_id, r.line, r.removed) for r in paragraphs.repeated_passages(df).collect()}
+    return {(r.doc_id, r.line, r.removed) for r in paragraphs.repeated_lines(df).collect()}
 
 
 def test_bands_find_pairs_at_the_threshold():
@@ -59,5 +59,61 @@ def test_tables(documents, awkward, nothing):
     assert found(documents) == expected([tuple(r) for r in documents.collect()])
     ids = awkward.filter("doc_id is not null")
     assert found(ids) == expected(list(dict.fromkeys(tuple(r) for r in ids.collect())))
-    assert paragraphs.repeated_passages(awkward).count() >= 0
+    assert paragraphs.repeated_lines(awkward).count() >= 0
     assert found(nothing) == set()
+
+
+def sentences(text):
+    out = []
+    for number, line in enumerate((text or "").split("\n")):
+        w = words(line)
+        if len(w) >= paragraphs.LEAST_LINE:
+            own, index = [], 0
+            for i, x in enumerate(w, 1):
+                own.append(x)
+                if x[-1] in ".!?" or i == len(w):
+                    if len(own) >= paragraphs.LEAST_SENTENCE:
+                        out.append((number, index, tuple(own)))
+                    own, index = [], index + 1
+    return out
+
+
+def expected_sentences(rows):
+    found = {doc: sentences(text) for doc, text, *_ in rows}
+    docs = {}
+    for doc, own in found.items():
+        for _, _, s in own:
+            docs.setdefault(s, set()).add(doc)
+    out = set()
+    for doc, own in found.items():
+        run = []
+        for x in [*own, None]:
+            if x is not None and len(docs[x[2]]) > 1:
+                run.append(x)
+                continue
+            if sum(len(s) for _, _, s in run) >= paragraphs.LEAST_RUN:
+                out |= {(doc, line, index) for line, index, _ in run}
+            run = []
+    return out
+
+
+def prose(seed, n):
+    return " ".join(invented(f"{seed} {i}", 9).capitalize() + "." for i in range(n))
+
+
+def test_passages_inside_lines(spark):
+    passage = prose(1, 7)
+    rows = [(i, f"{invented(10 + i, 31)} {passage} {invented(20 + i, 33)}\n{prose(40 + i, 3)}", "en", "s", 0) for i in range(3)]
+    rows += [(9, f"{prose(50, 4)} {prose(1, 1)} {prose(51, 4)}", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.line, r.sentence) for r in paragraphs.repeated_passages(df).collect()}
+    assert got == expected_sentences(rows) and {d for d, *_ in got} == {0, 1, 2} and len(got) == 18
+
+
+def test_lines_and_sentences_together(documents, nothing):
+    rows = [tuple(r) for r in documents.collect()]
+    got = paragraphs.repeated_passages(documents).collect()
+    lines = {(d, n) for d, n, _ in expected(rows)}
+    want = {(d, n, None) for d, n in lines} | {x for x in expected_sentences(rows) if x[:2] not in lines}
+    assert {(r.doc_id, r.line, r.sentence) for r in got} == want
+    assert paragraphs.repeated_passages(nothing).count() == 0
