@@ -67,13 +67,18 @@ def finished_states(aggregated: DataFrame) -> DataFrame:
 
 
 def activity(
-    stream: DataFrame, at: str, by: Sequence[str], width: str = "1 hour", late_by: str = "2 hours"
+    stream: DataFrame, at: str, by: Sequence[str], width: str = "1 hour", late_by: str | None = None
 ) -> DataFrame:
-    """Scans and errors per time bucket; rows later than ``late_by`` are left out.
+    """Scans and errors per time bucket.
+
+    All rows count, however late, and the state keeps every bucket. ``late_by``
+    bounds the state and leaves out rows that are later.
 
     A zone-free time column is made a timestamp first, as watermarks need one.
     """
-    timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late_by)
+    timed = stream.withColumn("_at", F.col(at).cast("timestamp"))
+    if late_by:
+        timed = timed.withWatermark("_at", late_by)
     grouped = timed.groupBy(F.window("_at", width).alias("_window"), *by).agg(
         F.count(F.lit(1)).alias("changes")
     )

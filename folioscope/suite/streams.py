@@ -84,6 +84,6 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
       event_type, count(*) as changes from events group by 1, 2""",
 )
 def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = scans.activity(_events(spark, sf_dir), "ts", ["event_type"], "6 hours", "1 day")
+    buckets = scans.activity(_events(spark, sf_dir), "ts", ["event_type"], "6 hours")
     final = scans.newest(spark, _run(spark, buckets, "update"), ["bucket_start", "bucket_end", "event_type"])
     return final.select(F.unix_seconds("bucket_start").alias("bucket_start"), "event_type", "changes")

@@ -237,3 +237,19 @@ def test_scaling_of_a_constant(spark):
     rows = spark.createDataFrame([(4.0, 1.0), (4.0, 3.0)], "c double, v double")
     done = stats.scaled(rows, stats.fit_scaling(rows, ["c", "v"])).collect()
     assert [r.c_scaled for r in done] == [0.0, 0.0] and [r.v_scaled for r in done] == [-1.0, 1.0]
+
+
+def test_key_pages_reach_every_row_with_nulls_and_descending_keys(spark):
+    rows = [(a, b, i) for i, (a, b) in enumerate((a, b) for a in (None, 1, 2, 3) for b in (None, "x", "y"))]
+    df = spark.createDataFrame(rows, "a int, b string, i int")
+    for descending in ((), ("a",), ("a", "b"), ("b",)):
+        order = [F.desc(k) if k in descending else F.asc(k) for k in ("a", "b", "i")]
+        want = [r.i for r in df.orderBy(*order).collect()]
+        got = [r for r in df.orderBy(*order).limit(5).collect()]
+        while True:
+            last = [got[-1][k] for k in ("a", "b", "i")]
+            more = query.page_after(df, ["a", "b", "i"], last, 5, descending).collect()
+            if not more:
+                break
+            got += more
+        assert [r.i for r in got] == want
