@@ -8,7 +8,7 @@ from .registry import REGISTRY, Query
 
 MODULES = (
     "catalog_pages", "path_columns", "text_columns", "statistics", "keyed_writes",
-    "run_ledger", "file_sources", "term_weights", "evaluation", "training", "streams",
+    "run_ledger", "file_sources", "written_tables", "term_weights", "evaluation", "training", "streams",
 )
 
 
