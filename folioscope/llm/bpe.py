@@ -26,7 +26,7 @@ PLAIN = re.compile("[\x00-\x7f\xa1-\xac\xae-\xff–—‘’“”…€]*")
 CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 SPACE = regex.compile(r"\s")
 CHUNKS = regex.compile(r"[^\s]+|\s+")
-PAIRS_KEPT, WORDS_KEPT, CHUNKS_KEPT = 200_000, 400_000, 400_000
+PAIRS_KEPT, WORDS_KEPT, CHUNKS_KEPT = 400_000, 1_200_000, 1_000_000
 NEVER = 1 << 30
 
 
