@@ -26,7 +26,12 @@ def worker_cache(name: str) -> dict:
     holder = sys.modules.get("_folioscope_worker")
     if holder is None:
         holder = sys.modules["_folioscope_worker"] = types.ModuleType("_folioscope_worker")
-    return holder.__dict__.setdefault(name, {})
+    kept = holder.__dict__.setdefault("caches", {})
+    if name not in kept:
+        # A worker goes from one operator to the next; what the last one learned makes room.
+        kept.clear()
+        kept[name] = {}
+    return kept[name]
 
 
 def bounded(cache: dict, most: int) -> dict:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded, map_slices, text_of, worker_cache, written
 
 ROUNDS, RATE = 40, 0.3
-IDS_KEPT = 800_000
+IDS_KEPT = 500_000
 SIGNS = ".,|;:"
 BUCKET_ROWS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
