@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity
+from . import decontaminate, fixity, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity, word_runs
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -65,7 +65,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_paragraph_banding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return word_runs.with_runs(paragraphs.repeated_passages(documents), documents)
 
 
 # The replica that is audited: a byte of some pages is another one, and some records are lost.
