@@ -8,6 +8,11 @@ digits are worked out anew, signs between digits stay. ``restored`` turns the
 permuted kinds back. Names in mail addresses and secrets have no such domain:
 they become keyed hashes of the same length, which can't be turned back.
 
+A card or account number may be followed or preceded by other digits or capitals.
+Where such a text as a whole isn't valid, the longest valid part from one sign
+between its groups to another is taken, the leftmost first, and the rest is
+searched like all other text. If the whole is valid too, by chance, it counts.
+
 What looks like a number and isn't valid stays, and so does all other text. A
 NULL text stays NULL, an empty one empty. Repeated rows give equal results.
 Nothing is shuffled.
@@ -16,6 +21,7 @@ Nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +45,13 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 EVERY = "|".join(PATTERNS.values())
+# A number that may begin at any of its groups, so the match itself is empty.
+ANYWHERE = {
+    "card": r"(?<!\d)(?=(\d(?:[ -]?\d){12,18})(?!\d))",
+    "account": r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9]))",
+}
+# A private-use character, which no pattern has, parts numbers from their neighbours.
+PART = "\ue00f"
 FIRST_DAY, DAYS, DAY_PARTS = "1900-01-01", 73_049, (17, 4_297)  # 1900 to 2099
 
 
@@ -121,24 +134,25 @@ def _card(text: Column, key: str, back: bool) -> Column:
     return let(_only_digits(text), change)
 
 
-def _account(text: Column, key: str, back: bool) -> Column:
-    def check(plain: Column) -> Column:
-        """Check digits of a country and an account."""
-        moved = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(2)), F.lit("00"))
+def _check_digits(plain: Column) -> Column:
+    """Check digits of a country and an account."""
+    moved = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(2)), F.lit("00"))
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.when(c.between("0", "9"), _number(c)).otherwise(F.ascii(c).cast("bigint") - 55)
+        return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
 
-        def step(rest: Column, c: Column) -> Column:
-            value = F.when(c.between("0", "9"), _number(c)).otherwise(F.ascii(c).cast("bigint") - 55)
-            return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
+    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0).cast("bigint"), step)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
 
-        rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0).cast("bigint"), step)
-        return F.lpad((98 - rest).cast("string"), 2, "0")
 
+def _account(text: Column, key: str, back: bool) -> Column:
     def change(plain: Column) -> Column:
         account = F.substring(plain, 5, 64)
         made = F.concat(F.left(plain, F.lit(2)), F.lit("00"), _filled(account, _permuted(_only_digits(account), f"{key}:account", back)))
-        valid = check(plain) == F.substring(plain, 3, 2)
+        valid = _check_digits(plain) == F.substring(plain, 3, 2)
         return F.when(valid, let(made, lambda m: _filled(
-            text, F.concat(check(m), _only_digits(F.substring(m, 5, 64)))
+            text, F.concat(_check_digits(m), _only_digits(F.substring(m, 5, 64)))
         ))).otherwise(text)
 
     return let(F.replace(text, F.lit(" "), F.lit("")), change)
@@ -305,17 +319,68 @@ def _changed(found: Column, key: str, back: bool) -> Column:
     return made
 
 
+def _valid(kind: str, text: Column) -> Column:
+    if kind == "card":
+        return let(_only_digits(text), lambda d: _luhn_digit(F.left(d, F.char_length(d) - 1)) == F.right(d, F.lit(1)))
+    return let(F.replace(text, F.lit(" "), F.lit("")), lambda p: _check_digits(p) == F.substring(p, 3, 2))
+
+
+def _longest_valid(kind: str, text: Column) -> Column:
+    """The longest valid beginning that ends before a sign or at the end, or NULL."""
+    size, least = F.char_length(text), 13 if kind == "card" else 15
+    ends = F.filter(
+        F.sequence(F.lit(least), F.greatest(size, F.lit(least))),
+        lambda i: (i == size) | F.substring(text, i + 1, F.lit(1)).isin(" ", "-"),
+    )
+    begun = F.transform(ends, lambda i: F.substring(text, F.lit(1), i))
+    whole = F.filter(begun, lambda x: x.rlike(f"^(?:{PATTERNS[kind]})$"))
+    good = F.filter(whole, lambda x: _valid(kind, x))
+    return F.try_element_at(good, F.lit(-1))
+
+
+def _parted(text: Column, found: Column) -> Column:
+    """The text with valid numbers parted from what made a match around them fail."""
+    failed = lambda x: F.when(x.rlike(f"^(?:{PATTERNS['account']})$"), ~_valid("account", x)).otherwise(
+        F.when(x.rlike(f"^(?:{PATTERNS['card']})$"), ~_valid("card", x)).otherwise(False)
+    )
+
+    def part(sound: Column) -> Column:
+        made = text
+        for kind in ("account", "card"):
+            starts = F.regexp_extract_all(text, F.lit(ANYWHERE[kind]), F.lit(1))
+            numbers = F.filter(F.transform(starts, partial(_longest_valid, kind)), lambda x: x.isNotNull())
+            # What lies inside a sound match, or inside a longer number before it, is no number of its own.
+            start = F.struct(made.alias("text"), F.array().cast("array<string>").alias("taken"))
+            made = F.aggregate(numbers, start, lambda state, x: F.when(
+                F.exists(F.concat(sound, state["taken"]), lambda y: F.contains(y, x)), state
+            ).otherwise(F.struct(
+                F.regexp_replace(
+                    state["text"], F.concat(F.lit("(?<![A-Za-z0-9])"), x, F.lit("(?![A-Za-z0-9])")), F.concat(F.lit(PART), x, F.lit(PART))
+                ).alias("text"),
+                F.array_append(state["taken"], x).alias("taken"),
+            )), lambda state: state["text"])
+        return made
+
+    sound = F.filter(found, lambda x: ~failed(x))
+    return F.when(F.exists(found, failed) & ~F.contains(text, F.lit(PART)), let(sound, part)).otherwise(text)
+
+
 def _replaced(df: DataFrame, text: str, key: str, back: bool, count: str | None = None) -> DataFrame:
     names = df.columns
-    found, changed = fresh(df, "_found"), fresh(df, "_changed")
-    marked = df.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(EVERY), F.lit(0)))
+    found, changed, parted = fresh(df, "_found"), fresh(df, "_changed"), fresh(df, "_parted")
+    once = df.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(EVERY), F.lit(0)))
+    split = once.withColumn(parted, _parted(F.col(text), F.col(found)))
+    marked = split.withColumn(found, F.when(F.col(parted) == F.col(text), F.col(found)).otherwise(
+        F.regexp_extract_all(F.col(parted), F.lit(EVERY), F.lit(0))
+    ))
     any_found = F.size(found) > 0
     made = marked.withColumn(changed, F.when(any_found, F.transform(found, lambda x: _changed(x, key, back))))
-    parts = F.split(F.col(text), EVERY, -1)
-    joined = F.concat(
+    parts = F.split(F.col(parted), EVERY, -1)
+    put = F.concat(
         F.element_at(parts, 1),
         F.array_join(F.zip_with(changed, F.slice(parts, F.lit(2), F.size(found)), lambda a, b: F.concat(a, b)), ""),
     )
+    joined = F.when(F.col(parted) == F.col(text), put).otherwise(F.replace(put, F.lit(PART), F.lit("")))
     out = [F.when(any_found, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in names if c != count]
     if count:
         differ = F.filter(F.zip_with(found, changed, lambda a, b: a != b), lambda x: x)
