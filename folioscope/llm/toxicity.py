@@ -48,10 +48,18 @@ SIGNS = {
 BETWEEN = frozenset(" .-_*~'`,")
 # Logarithms of the channel's probabilities.
 AS_IS, NO_LETTER, FOR_LETTER, LEFT_OUT, REPEATED = -0.05, -3.0, -2.5, -1.2, -1.6
-DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€.\-_*~]+[^\W\d_]|^[0-9@$]+[^\W\d_]{2}|[^\W\d_][@$!013]{1,2}$|([^\W\d_])\1\1")
+_HIDING = re.escape("".join(sorted({*SIGNS, *BETWEEN} - {" "})))
+# A word with a letter and a sign of the channel at any place, or with a letter three times in a row.
+DISGUISED = re.compile(rf"[^\W\d_].*[{_HIDING}]|[{_HIDING}].*[^\W\d_]|([^\W\d_])\1\1", re.S)
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-EDGE_OF_LETTERS = re.compile(r"^[^\w@$]+|(?<=[@$!])[@$!]{2,}$|[^\w@$!]+$")
-LEAST_RUN = 4
+# Signs that stand for letters stay at the ends, but no more than two of them.
+_ENDS = "@$!|+€"
+EDGE_OF_LETTERS = re.compile(
+    rf"^(?:(?![{_ENDS}])[\W_])+|(?:(?![{_ENDS}])[\W_])+$|^[{_ENDS}]{{2,}}(?=[{_ENDS}])|(?<=[{_ENDS}])[{_ENDS}]{{2,}}$"
+)
+LEAST_RUN = 3
+# Longer texts are decoded in windows that overlap by half, so each word is whole in one.
+DECODED_AT_ONCE = 400
 
 
 def _table() -> np.ndarray:
@@ -132,14 +140,26 @@ def restore(text: str, model: np.ndarray) -> str:
     return max(ends)[1].strip()
 
 
+def decoded(text: str, model: np.ndarray) -> list[str]:
+    """The words behind a disguised text of any length."""
+    found: list[str] = []
+    half = DECODED_AT_ONCE // 2
+    starts = range(0, max(1, len(text) - half), half)
+    for start in starts:
+        words = restore(text[start : start + DECODED_AT_ONCE], model).split()
+        # The first and last word of a window may be cut; the neighbour has them whole.
+        cut_off = words[int(start > 0) : len(words) - int(start < starts[-1])]
+        found += cut_off or words
+    return found
+
+
 def restored_words(word: str, model: np.ndarray) -> list[str]:
     """A word without signs around it, or the words found behind it."""
     lower = word.lower()
     bare = EDGE.sub("", lower)
     signed = EDGE_OF_LETTERS.sub("", lower)
-    # Decoding costs its length times the states; far longer runs are data, no words.
-    if DISGUISED.search(signed) and len(signed) <= 200:
-        return restore(signed, model).split()
+    if DISGUISED.search(signed):
+        return decoded(signed, model)
     return [bare] if bare else []
 
 
@@ -177,8 +197,7 @@ class Features:
             known[w] = self.of_words(restored_words(w, self.model)) or EMPTY
         found = set().union(*filter(None, map(known.__getitem__, distinct)))
         for run in runs_of_letters(words):
-            for at in range(0, len(run), 400):
-                found |= self.of_words(restore(run[at : at + 400], self.model).split())
+            found |= self.of_words(decoded(run, self.model))
         return found
 
 
