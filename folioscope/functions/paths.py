@@ -99,8 +99,8 @@ def resolve(path: Column | str, base: Column | str) -> Column:
 
 
 def depth(path: Column | str) -> Column:
-    """Number of parts; the root counts one in an absolute path."""
-    path = F.regexp_replace(_col(path), SCHEME, "")
+    """Number of parts as given; the root counts one in an absolute path, a scheme is a part like any other."""
+    path = _col(path)
     return F.size(_parts(path)) + F.when(path.startswith("/"), 1).otherwise(0)
 
 
