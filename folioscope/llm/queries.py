@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, html_text, near_dedup, packing, paragraphs, pseudonyms, quality, tokens, toxicity, word_runs
+from . import (
+    credentials, decontaminate, fixity, html_text, manifest, near_dedup, oracle_sql, packing, paragraphs, pseudonyms, quality,
+    resampling, tokens, toxicity, word_runs,
+)
 from .registry import query
 
 SEQUENCE_TOKENS = 2048
@@ -87,3 +90,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = fixity.leaves(damaged, ["page_id"]).filter("not (page_id % 389 = 7)")
     found = fixity.audit(fixity.leaves(pages, ["page_id"]), replica, ["page_id"])
     return found.select("page_id", "status", "length")
+
+
+@query("op11_credential_linking")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(table(spark, sf_dir, "documents"))
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op12_path_copying_manifest", oracle_sql.manifest())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(*MANIFEST_FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = manifest.audited(documents, MANIFEST_FIELDS, tampered, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return found.drop("n_copies", "is_changed")
+
+
+DRAW = {"buckets": 10_000, "percent": 10, "least_words": 20, "seed": 2024}
+
+
+@query("op13_head_tail_resampling", oracle_sql.resampling(**DRAW))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 1, **DRAW)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
