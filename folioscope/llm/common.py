@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -29,11 +32,21 @@ def worker_cache(name: str) -> dict:
     kept = holder.__dict__.setdefault("caches", {})
     if name not in kept:
         # A worker goes from one operator to the next; what the last one learned makes room.
-        kept.clear()
+        if kept:
+            kept.clear()
+            give_back_memory()
         kept[name] = {}
     return kept[name]
 
 
+def give_back_memory() -> None:
+    """Hand memory that nothing uses any more back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded(cache: dict, most: int) -> dict:
     """Empty a cache that has outgrown its bound."""
     if len(cache) > most:
@@ -41,6 +54,38 @@ def bounded(cache: dict, most: int) -> dict:
     return cache
 
 
+class Recent:
+    """What was learned about words, bounded in bytes.
+
+    There are two generations. Once the young one is full it becomes the old one,
+    whose words move back as they are met again, so common words are never lost.
+    """
+
+    # An entry's place in the table and the heads of its key and value.
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int):
+        self.half, self.size = most_bytes // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have to be learned; all others are in ``young`` now."""
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        fresh = keys.difference(self.young)
+        if self.old:
+            again = fresh & self.old.keys()
+            for key in again:
+                self.add(key, self.old[key])
+            fresh -= again
+        return fresh
+
+    def add(self, key: str, value, weight: int = 0) -> None:
+        self.young[key] = value
+        self.size += self.ENTRY + len(key) + len(value) + weight
+
+
 def map_slices(df: DataFrame, work: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
     """Apply ``work`` to columns as lists, a bounded number of rows at a time.
 

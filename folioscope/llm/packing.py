@@ -15,6 +15,7 @@ own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -23,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, map_slices, text_of, worker_cache, written
+from .common import Recent, map_slices, text_of, worker_cache, written
 
 ROUNDS, RATE = 40, 0.3
-IDS_KEPT = 500_000
-SIGNS = ".,|;:"
+#: Bytes of ids of words that a worker keeps.
+BYTES_KEPT = 160_000_000
+# A sign that follows a letter or digit and stands before white space or the end.
+SIGN_AT_END = re.compile(r"([.,;:|])(?<=[^\W_].)(?=\s|\Z)")
 BUCKET_ROWS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -47,50 +50,57 @@ class Encoder:
         self.special = [t["content"] for t in whole["added_tokens"]]
         steps = whole["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in steps if p["type"] == "Split"))
-        self.plain = regex.compile("[\x00-\x1b\x20-\x7f\xa1-\xac\xae-\xff–—‘’“”…€]*")
+        self.plain = re.compile("[\x00-\x1b\x20-\x7f\xa1-\xac\xae-\xff–—‘’“”…€]*")
         vocabulary = whole["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
-        self.known: dict = {}
-        self.words: dict = {}
-
-    def learn_words(self, words: set[str]) -> None:
-        """Ids of pre-tokens in lower case, by one call of the library."""
-        fresh = list(words.difference(bounded(self.words, IDS_KEPT)))
+        self.known = Recent(BYTES_KEPT)
+
+    def parts(self, text: str) -> list[str]:
+        """Parts whose ids in a row are those of the text: white space separates pre-tokens.
+
+        A sign behind a letter or digit and before white space is a pre-token of its own, so a
+        blank may stand before it. Case goes here where lower case keeps the characters' number.
+        """
+        if self.plain.fullmatch(text):
+            lower = text.lower()
+            if not any(s in lower for s in self.special):
+                return SIGN_AT_END.sub(r" \1", lower).replace("\n", " ").split(" ")
+        return text.split(" ")
+
+    def learn(self, fresh: set[str]) -> None:
+        """Ids of parts not met before; those in letters by one call of the library."""
+        simple, other, cut = [], [], []
+        for p in fresh:
+            if not self.plain.fullmatch(p) or any(s in p for s in self.special):
+                other.append(p)
+            elif p.isalpha() and p.islower():
+                simple.append(p)
+            else:
+                cut.append((p, self.split.findall(p.lower())))
+        words = self._words({w for _, found in cut for w in found}.union(simple))
+        for p in simple:
+            self.known.add(p, words[p])
+        for p, found in cut:
+            self.known.add(p, b"".join([words[w] for w in found]))
+        for p, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
+            self.known.add(p, np.array(e.ids, "<u4").tobytes())
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens in lower case."""
+        fresh = list(words)
         # A pre-token ends with the only token of it that carries an end mark.
-        ids = np.array(self.library.encode_batch([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
         raw, borders = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        for word, a, b in zip(fresh, borders, borders[1:]):
-            self.words[word] = raw[a:b]
-
-    def learn(self, pieces: set[str]) -> None:
-        simple, cut, other = [], [], []
-        for p in pieces:
-            # Most are letters, with a sign behind them or none.
-            if p.isalpha() and self.plain.fullmatch(p):
-                simple.append((p, p.lower(), ""))
-            elif p[:-1].isalpha() and p[-1] in SIGNS and self.plain.fullmatch(p):
-                simple.append((p, p[:-1].lower(), p[-1]))
-            elif self.plain.fullmatch(p) and not any(s in p for s in self.special):
-                cut.append((p, self.split.findall(p.lower())))
-            else:
-                other.append(p)
-        self.learn_words({w for _, w, _ in simple}.union(SIGNS, *(w for _, w in cut)))
-        words = self.words
-        for p, word, sign in simple:
-            self.known[p] = words[word] + words[sign] if sign else words[word]
-        for p, parts in cut:
-            self.known[p] = b"".join([words[w] for w in parts])
-        for p, e in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        return {word: raw[a:b] for word, a, b in zip(fresh, borders, borders[1:])}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as unsigned little-endian 32-bit numbers."""
-        pieces = [t.split(" ") for t in texts]
-        known = bounded(self.known, IDS_KEPT)
-        self.learn(set().union(*pieces).difference(known))
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        parts = [self.parts(t) for t in texts]
+        self.learn(self.known.missing(set().union(*parts)))
+        known = self.known.young
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def encoder(path: str) -> Encoder:

@@ -30,13 +30,14 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, append_columns, bounded, cut, fresh, map_slices, worker_cache
+from .common import SLICE_ROWS, Recent, append_columns, cut, fresh, map_slices, worker_cache
 
 #: Most labelled rows used to fit, taken by a hash of their id.
 FIT_ROWS = 20_000
 #: Most features that the classifier sees, and least texts that hold one.
 FEATURES, LEAST_TEXTS = 4_096, 5
-WORDS_KEPT = 400_000
+#: Bytes of features of words that a worker keeps.
+BYTES_KEPT = 100_000_000
 # Letters with a place of their own in the character model; all others share the last.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 WIDTH = 64
@@ -181,7 +182,7 @@ class Features:
     """What words give, for one character model and one set of wanted features."""
 
     def __init__(self, model: np.ndarray, wanted: dict[str, int] | None):
-        self.model, self.wanted, self.known = model, wanted, {}
+        self.model, self.wanted, self.known = model, wanted, Recent(BYTES_KEPT)
 
     def of_words(self, words: list[str]) -> frozenset:
         found = [f for w in words for f in features_of(w)]
@@ -191,11 +192,12 @@ class Features:
 
     def of_text(self, text: str | None) -> set:
         words = text.split() if text else []
-        known, distinct = bounded(self.known, WORDS_KEPT), set(words)
-        for w in distinct.difference(known):
+        distinct = set(words)
+        for w in self.known.missing(distinct):
             # Most words give nothing that is wanted, and share this one empty set.
-            known[w] = self.of_words(restored_words(w, self.model)) or EMPTY
-        found = set().union(*filter(None, map(known.__getitem__, distinct)))
+            made = self.of_words(restored_words(w, self.model)) or EMPTY
+            self.known.add(w, made, 200 + 80 * len(made) if made else 0)
+        found = set().union(*filter(None, map(self.known.young.__getitem__, distinct)))
         for run in runs_of_letters(words):
             found |= self.of_words(decoded(run, self.model))
         return found
