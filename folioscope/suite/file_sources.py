@@ -10,7 +10,7 @@ from ..plans.catalog import catalog, table, texts
 from ..plans.features import feature_frame
 from ..plans.ingest import Ingested, ingest
 from ..session import shared_dir
-from ..sources import extract, tables, tree
+from ..sources import crawl, extract, tables, tree
 from .path_columns import FAMILY_SQL, FOLD_SQL, KEYWORDS_SQL, MIME_SQL, _mime_key_sql
 from .registry import FILES_SQL, SUFFIX_SQL, query
 from .text_columns import normal_sql, printable_sql
@@ -41,6 +41,51 @@ def scan_written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CRAWLED_SQL = """
+with leaves as (
+  select concat('/lang=', lang, '/source=', source) as path, sum(octet_length(encode(text)) + 1)::bigint as size_bytes
+  from documents group by lang, source
+), tree as (
+  select '' as path, 0 as depth, (select count(distinct lang) from documents)::bigint as num_subdirs, null as size_bytes
+  union all select concat('/lang=', lang), 1, count(distinct source), null from documents group by lang
+  union all select path, 2, 0, size_bytes from leaves
+)
+"""
+
+
+def _tree_of_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written out as a tree of text files by language and source."""
+    folder = shared_dir(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.col("text").alias("value"))
+    docs.write.partitionBy("lang", "source").text(folder)
+    return folder
+
+
+def _crawled_sizes(crawled: DataFrame) -> DataFrame:
+    """Directories below the root with the size of the visible files in them."""
+    sizes = crawled.filter("kind = 'file' and not name rlike '^[._]'").groupBy(F.col("parent_path").alias("path")).agg(
+        F.sum("size_bytes").alias("size_bytes")
+    )
+    return crawl.crawled_directories(crawled).join(sizes, "path", "left").select(
+        F.expr("replace(path, root_path, '')").alias("path"), "depth", "num_subdirs", "size_bytes"
+    )
+
+
+@query("crawled_tree", f"{CRAWLED_SQL} select path, depth::int as depth, num_subdirs, size_bytes from tree")
+def crawled_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every directory of the written tree, found in several rounds."""
+    return _crawled_sizes(crawl.crawl(spark, [_tree_of_documents(spark, sf_dir)], first_budget=2, budget=5))
+
+
+@query(
+    "crawled_directories",
+    f"{CRAWLED_SQL} select path, depth::int as depth, num_subdirs, null::bigint as size_bytes from tree where depth <= 1",
+)
+def crawled_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper directories only; limits on depth and kind reach the walk."""
+    return _crawled_sizes(crawl.crawl(spark, [_tree_of_documents(spark, sf_dir)], max_depth=1, directories_only=True))
+
+
 @query("content_hash", "select doc_id, sha1(text) as sha1 from documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
