@@ -198,11 +198,11 @@ def digest(documents: DataFrame) -> DataFrame:
     found = with_credentials(narrow).drop("text")
     strong = [k for k, (_, sure) in KINDS.items() if sure]
     span = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
-    base = F.filter("credentials", lambda x: x["kind"].isin(strong))
+    of_kinds = lambda kinds: F.filter("credentials", lambda x: x["kind"].isin(kinds))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("credentials", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in strong),
-        F.sha2(F.array_join(F.transform(base, span), ","), 256).alias("base_sha256"),
+        *(F.size(of_kinds([k])).cast("long").alias(f"n_{k}") for k in strong),
+        F.sha2(F.array_join(F.transform(of_kinds(strong), span), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("credentials", span), ",").alias("spans"),
-        F.size(F.filter("credentials", lambda x: ~x["kind"].isin(strong))).cast("long").alias("n_linked"),
+        F.size(of_kinds([k for k in KINDS if k not in strong])).cast("long").alias("n_linked"),
     )

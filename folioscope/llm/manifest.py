@@ -78,8 +78,8 @@ class Tree:
 
 
 def copied(digest: str, path: list[tuple[list[str], list[str]]]) -> list[str]:
-    """The nodes that a leaf's new digest makes, from the lowest to the root."""
-    made = []
+    """A leaf's new digest and the nodes that it makes, up to the root."""
+    made = [digest]
     for left, right in path:
         digest = parent([*left, digest, *right])
         made.append(digest)
@@ -159,8 +159,8 @@ def versions(leaves: DataFrame) -> DataFrame:
     """Every leaf with its roots and proof, and the nodes that its changed digest copies.
 
     ``leaves`` has ``tree`` (the source; trees are ordered by it), ``doc_id``, ``leaf`` and
-    ``changed``, which is NULL for leaves that stay. ``copies`` goes from the lowest copied
-    node to the root of the leaf's version; for a leaf that stays these are its own ancestors.
+    ``changed``, which is NULL for leaves that stay. ``copies`` goes from the changed leaf to
+    the root of its version; for a leaf that stays these are itself and its own ancestors.
     """
     stored = written(_blocks(_numbered(leaves)), "blocks")
     tops = stored.select("tree", F.col("block").alias("idx"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), F.col("top").alias("digest"))
@@ -216,8 +216,8 @@ def audited(documents: DataFrame, fields: list[str], tampered: Column, text: Col
     # Tampering with a NULL text leaves a NULL, whose leaf is what it was.
     changed = F.when(tampered, F.coalesce(text, F.lit(None).cast("string")))
     found = versions(dataset_leaves(documents, fields, changed))
-    folded = F.coalesce(F.element_at("copies", -1), F.col("leaf"))
+    folded = F.element_at("copies", -1)
     return found.select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"),
-        folded.eqNullSafe(F.col("root")).alias("verified"), F.size("copies").alias("n_copies"), "is_changed",
+        folded.eqNullSafe(F.col("root")).alias("verified"), (F.size("copies") - 1).alias("n_copies"), "is_changed",
     )
