@@ -66,7 +66,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     Links with a NULL end or from a node to itself say nothing. Repeated and
     reversed links are one. Without links the result is empty.
     """
-    pairs = links.select(F.col(a).cast("long"), F.col(b).cast("long")).dropna()
+    # Links come from Python as a rule; kept apart, a task needs one worker at a time and not two.
+    pairs = cut(links.select(F.col(a).cast("long"), F.col(b).cast("long")).dropna())
     stars = cut(_local(pairs).distinct())
     while True:
         several = stars.groupBy("u").count().filter("count > 1").limit(1)
