@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import table
 from ..session import shared_dir
+from ..sources.keyed_table import KeyedTable
 from ..sources.sinks import current_table
 from ..streaming import scans
 from .registry import query
@@ -26,20 +27,20 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> str:
     return f"{folder}/changes"
 
 
-@query(
-    "stream_upsert",
-    """with rows as (select user_id as run_id, concat('/srv/u', user_id, '/', event_type) as path, event_id as seq,
+CHANGED_SQL = """with rows as (select user_id as run_id, concat('/srv/u', user_id, '/', event_type) as path, event_id as seq,
         case when event_id % 3 = 0 then null else ts end as modified_at,
         case when event_id % 4 = 0 then null else concat('user', event_id % 17) end as modified_by, event_type as subfolder
       from events)
     select run_id, path, max_by(subfolder, seq) as subfolder,
       max_by(modified_at, seq) filter (where modified_at is not null) as modified_at,
       max_by(modified_by, seq) filter (where modified_by is not null) as modified_by
-    from rows group by run_id, path""",
-)
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rows group by run_id, path"""
+
+
+def _changed_paths(rows: DataFrame) -> DataFrame:
+    """Events as changes of files, some without a time or an owner."""
     number = F.col("event_id")
-    rows = _events(spark, sf_dir).select(
+    return rows.select(
         F.col("user_id").alias("run_id"),
         F.concat(F.lit("/srv/u"), "user_id", F.lit("/"), "event_type").alias("path"),
         F.col("event_type").alias("subfolder"),
@@ -47,12 +48,41 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 4 != 0, F.concat(F.lit("user"), number % 17)).alias("modified_by"),
         number.alias("seq"),
     )
-    changes = _run(spark, rows, "append")
+
+
+@query("stream_upsert", CHANGED_SQL)
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _run(spark, _changed_paths(_events(spark, sf_dir)), "append")
     return current_table(
         spark, changes, ["run_id", "path"], "seq", keep=["modified_at", "modified_by"]
     )
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """The same changes appended in five batches to a table on storage, with a compaction on the way."""
+    rows = _changed_paths(table(spark, sf_dir, "events"))
+    fifths = rows.select(F.percentile("seq", [0.2, 0.4, 0.6, 0.8])).first()[0] or [0.0] * 4
+    made = KeyedTable.create(
+        rows.drop("seq").limit(0), shared_dir(spark, "keyed"), ["run_id", "path"], ["modified_at", "modified_by"], 2_000
+    )
+    for low, high in zip([float("-inf"), *fifths], [*fifths, float("inf")]):
+        made.append(rows.filter((F.col("seq") > low) & (F.col("seq") <= high)), "seq", deltas=3)
+    return made
+
+
+@query("merged_table", CHANGED_SQL)
+def merged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base files and the deltas that came after the last compaction, folded when read."""
+    return _merged(spark, sf_dir).read()
+
+
+@query("merged_lookup", f"select * from ({CHANGED_SQL}) where run_id % 50 = 0 and subfolder = 'click'")
+def merged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of some keys, from the files that may hold them."""
+    asked = _changed_paths(table(spark, sf_dir, "events")).filter("run_id % 50 = 0 and subfolder = 'click'")
+    return _merged(spark, sf_dir).lookup(asked)
+
+
 @query(
     "stream_progress",
     f"""{LEDGER_SQL}, rows as (select *, concat(root_path, '/f', seq) as path from ledger)
