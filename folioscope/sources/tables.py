@@ -16,6 +16,7 @@ from ..functions.fixed_values import (
     PATH_ALIASES,
     PATH_COLUMN,
     TABLE_ENCODINGS,
+    TRAINING_COLUMNS,
 )
 from ..functions.text import safe_path
 
@@ -67,6 +68,25 @@ def lifecycle_catalog(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, *columns)
 
 
+def flat_training_rows(df: DataFrame) -> DataFrame:
+    """Typed rows of the flat training file; rows without a target go.
+
+    Every column must be there. ``file_exists`` becomes 1 or 0, or NULL where it is neither
+    true nor false; numbers that aren't any become NULL; missing texts become empty.
+    """
+    require_columns(df, TRAINING_COLUMNS, "flat training file")
+    truth = F.lower(F.trim(F.col("file_exists").cast("string")))
+    number = lambda c: F.expr(f"nanvl(try_cast(trim(cast(`{c}` as string)) as double), cast(null as double))").alias(c)
+    return df.filter(F.col("business_capability").isNotNull()).select(
+        F.col("business_capability").cast("string").alias("business_capability"),
+        *(F.col(c).cast("string").alias(c) for c in ("extension", "extension_family")),
+        F.when(truth.isin("true", "1", "1.0"), 1).when(truth.isin("false", "0", "0.0"), 0).cast("long").alias("file_exists"),
+        *(number(c) for c in ("original_path_depth", "file_size_bytes", "content_word_count")),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("content_text", "original_path_keywords", "original_file_path")),
+        *(F.col(f"`{c}`") for c in df.columns if c not in TRAINING_COLUMNS),
+    )
+
+
 def _is_utf8(spark: SparkSession, path: str) -> bool:
     lines = spark.read.text(path)
     return bool(lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0])

@@ -340,3 +340,30 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_exists", "file_size_bytes", "modified_time_epoch", "modified_time_iso", "content_text",
         "content_char_len", "content_word_count", "has_content", "original_path_depth", "notes_word_count",
     )
+
+
+@query(
+    "flat_training_rows",
+    f"""{FILES_SQL}, texts as (select doc_id, text from documents)
+    select file_id, business_capability, extension, 'f' || (file_id % 3) as extension_family,
+      case file_id % 4 when 0 then 1 when 1 then 0 when 2 then 1 end::bigint as file_exists,
+      case when file_id % 5 <> 0 then (file_id % 7)::double end as original_path_depth, size_bytes::double as file_size_bytes,
+      case when file_id % 6 <> 0 then (file_id % 900)::double end as content_word_count,
+      case when file_id % 8 = 0 then '' else text end as content_text, lower(file_name) as original_path_keywords,
+      case when file_id % 9 = 0 then '' else path end as original_file_path
+    from files join texts on doc_id = file_id where business_capability is not null""",
+)
+def flat_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat training file whose columns came as texts, with gaps and misprints."""
+    i = F.col("file_id")
+    raw = catalog(spark, sf_dir).select(
+        "file_id", "business_capability", F.nullif(paths.extension_key("file_name"), F.lit("")).alias("extension"),
+        F.concat(F.lit("f"), i % 3).alias("extension_family"),
+        F.when(i % 4 == 0, "True").when(i % 4 == 1, "false").when(i % 4 == 2, " 1 ").otherwise("maybe").alias("file_exists"),
+        F.when(i % 5 == 0, "deep").otherwise((i % 7).cast("string")).alias("original_path_depth"),
+        F.concat(F.lit(" "), F.col("size_bytes").cast("string")).alias("file_size_bytes"),
+        F.when(i % 6 == 0, "NaN").otherwise((i % 900).cast("string")).alias("content_word_count"),
+        F.when(i % 8 != 0, F.col("content_text")).alias("content_text"), F.lower("file_name").alias("original_path_keywords"),
+        F.when(i % 9 != 0, F.col("path")).alias("original_file_path"),
+    )
+    return tables.flat_training_rows(raw)
