@@ -9,7 +9,7 @@ from ..plans.catalog import table
 from ..session import shared_dir
 from ..sources.keyed_table import KeyedTable
 from ..sources.sinks import current_table
-from ..streaming import scans
+from ..streaming import scans, tracked_runs
 from .registry import query
 from .run_ledger import COLUMNS, LEDGER_SQL, RUNS_SQL, SELECT, ledger_of
 
@@ -108,6 +108,15 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.finished_states(final).select(*COLUMNS)
 
 
+@query("stream_tracked_runs", f"{RUNS_SQL} select {SELECT}, false as stalled from runs")
+def stream_tracked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs held as keyed state with timers; no run stands still for six hours while the query runs."""
+    folder = shared_dir(spark, "stream")
+    ledger = ledger_of(_events(spark, sf_dir))
+    tracked_runs.start_tracking(ledger, f"{folder}/changes", f"{folder}/state").awaitTermination()
+    return tracked_runs.tracked_runs(spark, f"{folder}/changes").select(*COLUMNS, "stalled")
+
+
 @query(
     "stream_buckets",
     """select epoch(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'))::bigint as bucket_start,
