@@ -11,6 +11,8 @@ from ..operators import query as q
 from ..operators.joins import file_detail, training_set
 from ..operators.upsert import drop_blank_target
 from ..plans.catalog import catalog
+from ..session import shared_dir
+from ..sources.substring_index import SubstringIndex
 from .path_columns import FAMILY_SQL
 from .registry import FILES_SQL, SUFFIX_SQL, files, query
 
@@ -116,6 +118,25 @@ def subfolder_like_nocase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.apply(files(spark, sf_dir)).select(*COLUMNS)
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> SubstringIndex:
+    """An index of the catalog by path, its second half added later."""
+    rows = files(spark, sf_dir).select(*COLUMNS)
+    made = SubstringIndex.create(rows.filter("size_bytes % 2 = 0 or size_bytes is null"), shared_dir(spark, "index"), "path", 500)
+    made.add(rows.filter("size_bytes % 2 <> 0"))
+    return made
+
+
+@query("path_search", f"{FILES_SQL} select {SELECT} from files where contains(lower(path), 'de/q2 reports/doc-1')")
+def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that hold a text, from the blocks whose posting lists allow it."""
+    return _indexed(spark, sf_dir).search("DE/Q2 Reports/Doc-1", literal=True)
+
+
+@query("path_search_wildcards", f"{FILES_SQL} select {SELECT} from files where lower(path) like '%src_/en%doc-%_v2.csv%'")
+def path_search_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir).search("Src_/EN%doc-%_V2.csv")
+
+
 @query("distinct_roots", f"{FILES_SQL} select distinct root_path from files")
 def distinct_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.distinct_values(files(spark, sf_dir), "root_path")
