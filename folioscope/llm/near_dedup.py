@@ -22,11 +22,13 @@ it.
 
 A NULL or empty text, or one of white space, has an empty set and no links.
 Rows with equal text are linked. Repeated rows stay. A NULL ``doc_id`` stays,
-and counts as a component's smallest only if there is no other.
+and counts as a component's smallest only if there is no other; ids only label
+rows, which are told apart by a hash of their text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ from .common import cut, fresh, map_slices, written
 from .components import connected_components
 from .shingles import shingle_set
 
-SKETCH, SHARE = 64, 0.625
+SKETCH = 64
+#: Chance that two sets just at the threshold share fewer retained values than is asked for.
+MISS = 5e-6
 LIST_ROWS, BLOCK_ELEMENTS = 1_000, 1_500_000
 
 
@@ -47,23 +51,41 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64)))
 
 
+def shared_part(percent: int) -> float:
+    """The part of its retained values that a set shares with one at the threshold, but for the chance ``MISS``."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < SKETCH:
+        below += math.comb(SKETCH, least) * p**least * (1 - p) ** (SKETCH - least)
+        if below > MISS:
+            break
+        least += 1
+    return least / SKETCH
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """Ids and texts with a hash of the text, which tells rows apart that share an id or have none."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """Size of the shingle set, a hash of the whole set and its lowest values."""
 
     def work(columns: list[list]) -> list[list]:
         sizes, nodes, lows = [], [], []
-        for text in columns[1]:
+        for text in columns[2]:
             s = shingle_set(text, width)
             sizes.append(len(s))
             nodes.append(_node(s))
             lows.append(s[:SKETCH].view(np.int64))
-        return [columns[0], sizes, nodes, lows]
+        return [*columns[:2], sizes, nodes, lows]
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return map_slices(rows, work, "doc_id bigint, n bigint, node bigint, sketch array<bigint>")
+    return map_slices(
+        _texts(documents), work, "doc_id bigint, text_hash bigint, n bigint, node bigint, sketch array<bigint>"
+    )
 
 
-def _listed(distinct: DataFrame) -> DataFrame:
+def _listed(distinct: DataFrame, share: float) -> DataFrame:
     """For each sketch the values under which it is listed."""
     values = distinct.select("node", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -72,7 +94,7 @@ def _listed(distinct: DataFrame) -> DataFrame:
     )
     size = F.size("sketch")
     # Values of one holder come first in the order and need no list.
-    wanted = size - F.ceil(size * SHARE) + 1 - (size - F.size("common"))
+    wanted = size - F.ceil(size * share) + 1 - (size - F.size("common"))
     return distinct.join(ordered, "node").filter(wanted > 0).select(
         "node", "n", "sketch", F.slice("common.value", F.lit(1), F.least(wanted, F.size("common")).cast("int")).alias("values")
     )
@@ -167,6 +189,7 @@ def spanning(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray], passes
 
 def _list_links(percent: int) -> Callable[[dict], list[tuple[int, int]]]:
     """Pairs of a list whose union sketch doesn't rule them out."""
+    share = shared_part(percent)
 
     def links(rows: dict) -> list[tuple[int, int]]:
         sizes = np.array(rows["n"])
@@ -174,7 +197,7 @@ def _list_links(percent: int) -> Callable[[dict], list[tuple[int, int]]]:
         lengths = np.array([len(s) for s in sets])
 
         def passes(i: int, others: np.ndarray, common: np.ndarray) -> np.ndarray:
-            good = common >= np.ceil(SHARE * np.minimum(lengths[i], lengths[others]))
+            good = common >= np.ceil(share * np.minimum(lengths[i], lengths[others]))
             for at in np.flatnonzero(good).tolist():
                 a, b = sets[i], sets[others[at]]
                 union = np.union1d(a, b)
@@ -184,7 +207,7 @@ def _list_links(percent: int) -> Callable[[dict], list[tuple[int, int]]]:
                 else:
                     low = union[:SKETCH]
                     both = np.intersect1d(a, b, assume_unique=True)
-                    good[at] = np.count_nonzero(both <= low[-1]) >= SHARE * len(low)
+                    good[at] = np.count_nonzero(both <= low[-1]) >= share * len(low)
             return good
 
         return spanning(rows["node"], sizes, sets, passes, percent)
@@ -208,7 +231,7 @@ def _set_links(percent: int) -> Callable[[dict], list[tuple[int, int]]]:
 
 
 def _families(distinct: DataFrame, percent: int) -> DataFrame:
-    listed = written(_listed(distinct), "lists").select("node", "n", "sketch", F.explode("values").alias("value"))
+    listed = written(_listed(distinct, shared_part(percent)), "lists").select("node", "n", "sketch", F.explode("values").alias("value"))
     counts = listed.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
     blocks = F.ceil(F.col("members") / LIST_ROWS)
     dealt = listed.join(counts, "value").select(
@@ -229,8 +252,9 @@ def _confirmed(documents: DataFrame, members: DataFrame, width: int, percent: in
                     to.append(x)
         return out
 
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    joined = texts.join(members.select("doc_id", "node", "family"), "doc_id").select("node", "family", "text")
+    wanted = members.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("text_hash"), "node", "family")
+    texts = _texts(documents).join(wanted, "text_hash")
+    joined = texts.filter(F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "family", "text")
     sets = map_slices(joined, work, "node bigint, family bigint, n bigint, shingles binary")
     weights = members.groupBy("family").agg(F.sum("n").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_ELEMENTS)
@@ -240,39 +264,54 @@ def _confirmed(documents: DataFrame, members: DataFrame, width: int, percent: in
     return grouped_links(dealt, ["family", "low", "high"], _set_links(percent))
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """Every document with its set's size, its component and whether it is the one that stays.
-
-    Links hold where 100 * intersection >= percent * union of the shingle sets.
-    """
+def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every row with the hash of its text, its set's size and its component."""
     signed = written(sketches(documents, width), "sketches")
     filled = signed.filter("n > 0")
     distinct = written(filled.select("node", "n", "sketch").distinct(), "distinct")
-    classes = cut(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
-    families = _families(distinct, percent)
-    members = cut(families.join(classes, "node").select(
-        F.col("first").alias("doc_id"), "node", F.col("component").alias("family"), "n"
+    # A row with an id, if there is one, stands for its set.
+    row = F.struct("doc_id", "text_hash")
+    classes = cut(filled.groupBy("node").agg(
+        F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.max("n").alias("n")
     ))
+    families = _families(distinct, percent)
+    members = cut(families.join(classes, "node").select("first", "node", F.col("component").alias("family"), "n"))
     linked = cut(connected_components(_confirmed(documents, members, width, percent), "a", "b"))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"))
-    labels = cut(rooted.join(smallest, "root").select("node", "smallest"))
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(
-        labels, "node", "left"
-    ).select(
-        "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    smallest = rooted.groupBy("root").agg(F.min("first.doc_id").alias("smallest"))
+    labels = cut(rooted.join(smallest, "root").select("node", "root", "smallest"))
+    keyed = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return keyed.join(labels, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", "root", F.coalesce("smallest", "doc_id").alias("component_id")
+    )
+
 
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """Every document with its set's size, its component and whether it is the one that stays.
 
-def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    Links hold where 100 * intersection >= percent * union of the shingle sets.
+    """
+    return _labelled(documents, width, percent).drop("text_hash", "root").withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
+
+
+def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near duplicates, the one with the smallest id.
 
-    Of equal rows one stays. Rows without an id can't be told apart and stay.
+    Where several rows of a group have that id, or none of them has any, one of these stays.
+    Rows of empty texts stay, but of equal ones with an id one.
     """
-    found = near_duplicates(documents, width, percent).filter("kept")
-    own, rows = fresh(documents, "_id"), fresh(documents, "_rows")
-    ids = cut(found.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows)))
-    joined = documents.join(ids, F.col("doc_id").eqNullSafe(F.col(own)))
-    single = (F.col(rows) == 1) | F.col(own).isNull()
+    found = _labelled(documents, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own, key, text, rows, filled = (fresh(documents, c) for c in ("_id", "_key", "_text", "_rows", "_filled"))
+    group = F.coalesce("root", "text_hash").alias("group")
+    texts = found.groupBy("doc_id", group, "text_hash").agg(F.count("*").alias("n"), F.max(F.col("n_shingles") > 0).alias("filled"))
+    chosen = texts.groupBy("doc_id", "group").agg(F.min(F.struct("text_hash", "n", "filled")).alias("x"))
+    ids = cut(chosen.select(
+        F.col("doc_id").alias(own), F.col("x.text_hash").alias(key), F.col("x.n").alias(rows), F.col("x.filled").alias(filled)
+    ))
+    keyed = documents.withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(ids, (F.col(text) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    single = (F.col(rows) == 1) | F.col(own).isNull() & ~F.col(filled)
     once = joined.filter(single).select(documents.columns)
     return once.union(joined.filter(~single).select(documents.columns).dropDuplicates(["doc_id", "text"]))

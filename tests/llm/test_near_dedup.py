@@ -44,12 +44,37 @@ def test_large_groups_in_blocks(spark, monkeypatch, seed):
     assert found(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
 
 
+@pytest.mark.parametrize("percent", [70, 80, 95])
+def test_other_thresholds(spark, percent):
+    base, rows = invented(50, 300), []
+    for i in range(40):
+        rows.append((i, edited(base, i, i % 16), "en", "s", 0))
+    rows += [(100 + i, edited(invented(60 + i // 4, 150), i, i % 4 * 2), "en", "s", 0) for i in range(40)]
+    assert found(spark.createDataFrame(rows, SCHEMA), percent=percent) == expected(rows, percent)
+    assert near_dedup.shared_part(85) == 0.625 and near_dedup.shared_part(80) < 0.625 < near_dedup.shared_part(95)
+
+
+def test_ids_that_are_missing_or_repeat(spark):
+    base, other = invented(70, 120), invented(71, 120)
+    near, near2 = edited(base, 1, 1), edited(base, 2, 1)
+    # A copy without an id, two texts under one id, and a group in which no row has an id.
+    rows = [(None, base, "", "", 0), (5, near, "", "", 0), (1, other, "", "", 0), (2, edited(other, 3, 1), "", "", 0), (2, near2, "", "", 0),
+            (2, near2, "", "", 0), (None, invented(72, 90), "", "", 0), (None, edited(invented(72, 90), 4, 1), "", "", 0), (None, None, "", "", 0),
+            (None, None, "", "", 1), (9, "", "", "", 0), (9, invented(73, 80), "", "", 0), (9, edited(invented(73, 80), 5, 1), "", "", 0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert found(table) == expected(rows)
+    kept = near_dedup.without_near_duplicates(table).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in kept if r.doc_id is None and r.text is None) == [(None, 0), (None, 1)]
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 9, 9] and {r.text for r in kept if r.doc_id == 2} == {near2}
+    assert sum(r.doc_id is None and r.text is not None for r in kept) == 1
+
+
 def test_stage_keeps_one(awkward, spark):
     kept = near_dedup.without_near_duplicates(awkward.withColumn("node", near_dedup.F.lit(1)).withColumn("_id", near_dedup.F.lit(2)))
     rows = kept.filter("doc_id is not null").collect()
     ids = [r.doc_id for r in rows]
     assert len(ids) == len(set(ids))
-    assert set(ids) == {d for d, _, c, k in expected([tuple(r) for r in awkward.collect()]) if d is not None and k}
+    assert set(ids) == {d for d, _, c, k in expected([tuple(r) for r in awkward.collect()], 80) if d is not None and k}
     assert kept.columns == [*awkward.columns, "node", "_id"]
 
 

@@ -104,7 +104,7 @@ def test_pipeline(spark, items, labels):
             bad = {r.doc_id for r in toxicity.score(docs, labels).filter("is_toxic").collect()}
             assert sorted(rows) == sorted(r for r in before if r[0] not in bad) and bad
         if name == "near_dedup":
-            keep = {d for d, _, _, k in groups(before) if k}
+            keep = {d for d, _, _, k in groups(before, 80) if k}
             assert sorted(rows) == sorted(r for r in before if r[0] in keep) and len(rows) < len(before)
         if name == "decontamination":
             leaks = contained([r[:2] for r in before], [(r.item_id, r.text) for r in items.collect()])
