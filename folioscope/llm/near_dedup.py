@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_slices, written
+from .common import cut, fresh, map_slices, worker_cache, written
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -117,6 +117,8 @@ def grouped_links(df: DataFrame, keys: list[str], links: Callable[[dict], list[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
+        # Words that were learned for the sets make room; comparing needs none.
+        worker_cache("links")
         for batch in batches:
             if not batch.num_rows:
                 continue
