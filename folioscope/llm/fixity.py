@@ -9,7 +9,8 @@ records. All of it is SQL functions; what is shuffled are digests, never pages.
 Archive files hold a bounded number of records, by where a row lies in its input
 file, so neither a site with very many pages nor repeated or NULL ids make a
 file too large. A NULL url or page is empty. A record that one replica lacks is
-reported as missing or extra. Empty tables have no roots and no findings.
+reported as missing or extra, and those behind it, which stand at other offsets, are
+matched by their digests. Empty tables have no roots and no findings.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def archived(pages: DataFrame) -> DataFrame:
     """Pages of a Parquet table as records of archive files; other columns stay."""
     place = F.col("_metadata.row_index")
     name = F.concat_ws("-", F.col("_metadata.file_name"), F.floor(place / FILE_RECORDS).cast("string"))
-    return pages.select("*", name.alias("archive"), place.alias("position")).withColumn(
-        "record", response_record(F.col("url"), F.col("html"))
-    )
+    record = response_record(F.col("url"), F.col("html"))
+    # Columns of these names make room.
+    return pages.withColumns({"archive": name, "position": place, "record": record})
 
 
 def leaves(records: DataFrame, keep: list[str]) -> DataFrame:
@@ -96,13 +97,47 @@ def audit(primary: DataFrame, replica: DataFrame, keep: list[str]) -> DataFrame:
         parent = F.floor(F.col("node") / FANOUT)
         wrong = cut(_differing(_below(a, wrong, parent), _below(b, wrong, parent), ["archive", "node"]))
     parent = F.floor(F.col("offset") / RANGE_BYTES)
-    a = _below(ours, wrong, parent).withColumn("_a", F.lit(True))
-    b = _below(theirs, wrong, parent).withColumn("_b", F.lit(True))
-    rename = {c: f"_{c}" for c in ("length", "digest", *keep)}
-    both = a.join(b.withColumnsRenamed(rename), ["archive", "offset"], "full")
-    same = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("length").eqNullSafe(F.col("_length"))
-    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("differs")
-    return both.filter(~same).select(
-        "archive", "offset", F.coalesce("length", "_length").alias("length"),
-        *(F.coalesce(c, f"_{c}").alias(c) for c in keep), status.alias("status"),
+    return _aligned(_below(ours, wrong, parent), _below(theirs, wrong, parent), keep)
+
+
+def _unmatched(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair the first, second, ... record with equal keys on either side; the pairs, and what each side has left."""
+    turn = Window.partitionBy(*keys).orderBy("offset")
+    a, b = (x.withColumn("_turn", F.row_number().over(turn)) for x in (ours, theirs))
+    match = [*keys, "_turn"]
+    pairs = a.select(*match, F.struct(*ours.columns).alias("_ours")).join(
+        b.select(*match, F.struct(*theirs.columns).alias("_theirs")), match, "full"
+    ).select("_ours", "_theirs")
+    both = F.col("_ours").isNotNull() & F.col("_theirs").isNotNull()
+    return (
+        pairs.filter(both), pairs.filter(F.col("_theirs").isNull()).select("_ours.*"),
+        pairs.filter(F.col("_ours").isNull()).select("_theirs.*"),
+    )
+
+
+def _aligned(ours: DataFrame, theirs: DataFrame, keep: list[str]) -> DataFrame:
+    """Findings of the ranges that differ.
+
+    Records with equal digests are the same wherever they stand, so a lost or added one shifts the
+    rest of its file and no more. What is left lies in gaps between these: there records of one
+    length, and then those in the same place, are one that was changed; others are missing or extra.
+    """
+    same, lost, new = (cut(x) for x in _unmatched(ours, theirs, ["archive", "length", "digest"]))
+    # A gap is named by the record in front of it, by its offset in our replica.
+    marks = same.select(F.col("_ours.archive").alias("archive"), F.col("_ours.offset").alias("_at"), F.col("_theirs.offset").alias("_there"))
+
+    def in_gaps(rows: DataFrame, place: str) -> DataFrame:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("archive", "offset")]
+        posts = marks.select("archive", F.col(place).alias("offset"), *blank, F.col("_at"))
+        both = rows.withColumn("_at", F.lit(None).cast("long")).unionByName(posts)
+        before = Window.partitionBy("archive").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+        gap = F.coalesce(F.last("_at", True).over(before), F.lit(-1))
+        return both.withColumn("_gap", gap).filter(F.col("digest").isNotNull()).drop("_at")
+
+    sized, lost, new = (cut(x) for x in _unmatched(in_gaps(lost, "_at"), in_gaps(new, "_there"), ["archive", "_gap", "length"]))
+    placed, lost, new = _unmatched(lost, new, ["archive", "_gap"])
+    of = lambda rows, side, status: rows.select(
+        *(F.col(f"{side}{c}").alias(c) for c in ("archive", "offset", "length", *keep)), F.lit(status).alias("status")
     )
+    changed = of(sized, "_ours.", "differs").unionByName(of(placed, "_ours.", "differs"))
+    return changed.unionByName(of(lost, "", "missing")).unionByName(of(new, "", "extra"))

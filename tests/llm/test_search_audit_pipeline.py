@@ -86,6 +86,23 @@ def test_fixity(spark):
     assert fixity.audit(ours.limit(0), ours.limit(0), ["page_id"]).count() == 0
 
 
+def test_fixity_after_lost_and_added_records(spark):
+    schema = "page_id long, archive string, position long, record binary"
+    record = lambda i: bytes([i % 251]) * (40 + i * 37 % 900) + str(i // 2 if i % 50 == 0 else i).encode()
+    rows = [(i, f"a{i % 2}", i, record(i)) for i in range(1_200)]
+    whole = fixity.leaves(spark.createDataFrame(rows, schema), ["page_id"])
+
+    def findings(changed):
+        return sorted((r.page_id, r.status) for r in fixity.audit(whole, fixity.leaves(spark.createDataFrame(changed, schema), ["page_id"]), ["page_id"]).collect())
+
+    assert findings([r for r in rows if r[0] != 120]) == [(120, "missing")]
+    odd = [r for r in rows if r[0] not in (0, 77, 78, 1_199)]
+    odd = [(*r[:3], b"\xff" + r[3][1:]) if r[0] in (79, 500, 1_197) else r for r in odd]
+    odd += [(9_000, "a0", 301, b"added"), (9_001, "a1", 600, b"between")]
+    assert findings(odd) == [(0, "missing"), (77, "missing"), (78, "missing"), (79, "differs"), (500, "differs"), (1_197, "differs"),
+                             (1_199, "missing"), (9_000, "extra"), (9_001, "extra")]
+
+
 def test_records(spark):
     pages = spark.createDataFrame([(1, "u", "é"), (2, None, None)], "page_id long, url string, html string")
     got = [bytes(r.x) for r in pages.select(fixity.response_record(pages.url, pages.html).alias("x")).collect()]
