@@ -78,6 +78,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def gathered(df: DataFrame, rows: int, task_rows: int) -> DataFrame:
+    """Put a known number of rows into no more tasks than they fill; a large input is returned untouched."""
+    tasks = max(1, -(-rows // task_rows))
+    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast ``df`` when it is proven to have at most ``max_rows`` rows.
 
