@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
+from itertools import accumulate
 from operator import sub
 
 import regex
@@ -199,14 +200,45 @@ class PrefixCounter:
 
     def _pretokens(self, chunk: str) -> list[str] | None:
         """Pre-tokens of a text without white space; None where prefixes change what is before them."""
-        if any(s in chunk for s in self.special):
-            return None
         if PLAIN.fullmatch(chunk):
             return self.split.findall(chunk.lower())
-        lower = "".join([c.lower() for c in chunk])
-        if len(lower) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
+        composed = [unicodedata.normalize("NFC", c) for c in chunk]
+        if any(len(c) != 1 for c in composed) or not unicodedata.is_normalized("NFC", "".join(composed)):
             return None
-        return self.split.findall(lower)
+        return self.split.findall("".join([c.lower() for c in composed]))
+
+    def _segments(self, chunk: str) -> list[tuple[str, int | None]]:
+        """Parts without special strings; one that runs up to such a string has it but for its last character.
+
+        The number says where the string begins. Until it is whole it is ordinary text.
+        """
+        found, rest = [], chunk
+        while rest:
+            hits = [(rest.find(s), -len(s), s) for s in self.special if s in rest]
+            if not hits:
+                found.append((rest, None))
+                break
+            start, _, string = min(hits)
+            found.append((rest[:start] + string[:-1], start))
+            rest = rest[start + len(string) :]
+        return found
+
+    def _steps(self, text: str, tokens: list[str] | None) -> array:
+        """Changes of the count at each character of a text without special strings or white space."""
+        if tokens is None:
+            return array("h", _changes([0, *self._by_library(text)]))
+        steps = array("h")
+        for token in tokens:
+            own = self.words[token]
+            if len(token) > 2 and CONTRACTION.fullmatch(token):
+                steps.extend((1, 1, sum(array("h", own)) - 2))
+            else:
+                steps.frombytes(own)
+        if len(steps) != len(text):
+            # A character may be several in lower case.
+            ends = list(accumulate(len(unicodedata.normalize("NFC", c).lower()) for c in text))
+            steps = array("h", [sum(steps[a:b]) for a, b in zip([0, *ends], ends)])
+        return steps
 
     def learn(self, pieces: set[str]) -> None:
         """Work out the changes of the count at each character of texts between blanks."""
@@ -219,8 +251,9 @@ class PrefixCounter:
                 simple.append((p, p[:-1].lower(), p[-1]))
             else:
                 other.append((p, CHUNKS.findall(p)))
-        words = {w: self._pretokens(w) for _, cut in other for w in cut if not SPACE.match(w)}
-        wanted = {t for tokens in words.values() for t in tokens or ()}
+        parts = {w: self._segments(w) for _, cut in other for w in cut if not SPACE.match(w)}
+        texts = {t: self._pretokens(t) for found in parts.values() for t, _ in found}
+        wanted = {t for tokens in texts.values() for t in tokens or ()}
         # A contraction that is cut short is a sign and a letter of its own.
         wanted |= {t[1] for t in wanted if CONTRACTION.fullmatch(t)} | {"'", *".,|;:"}
         wanted.update([w for _, w, _ in simple])
@@ -229,20 +262,17 @@ class PrefixCounter:
         for p, word, sign in simple:
             known[p] = found[word] + found[sign] if sign else found[word]
         for p, cut in other:
-            parts = []
+            steps = array("h")
             for word in cut:
-                tokens = words.get(word, ())
-                if tokens is None:
-                    parts.append(_changes([0, *self._by_library(word)]))
-                elif not tokens:
-                    parts.append(bytes(2 * len(word)))
-                for token in tokens or ():
-                    if len(token) > 2 and CONTRACTION.fullmatch(token):
-                        whole = sum(array("h", found[token]))
-                        parts.append(array("h", [1, 1, whole - 2]).tobytes())
-                    else:
-                        parts.append(found[token])
-            known[p] = b"".join(parts)
+                if word not in parts:
+                    steps.frombytes(bytes(2 * len(word)))
+                for text, special in parts.get(word, ()):
+                    own = self._steps(text, texts[text])
+                    steps.extend(own)
+                    if special is not None:
+                        # The string is one token now, and what was made of its beginning is gone.
+                        steps.append(sum(own[:special]) + 1 - sum(own))
+            known[p] = steps.tobytes()
 
     def steps(self, texts: list[str]) -> list[bytes]:
         """Change of the token count at each character of each text, as 16-bit numbers.

@@ -1,5 +1,6 @@
 """Counts and ids against the vocabulary's own library."""
 
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,9 @@ PATH = tokens.vocabulary_path()
 ODD = [
     "It's d'r 'rest x  ý İ ΑΣ ß", "a<|endoftext|>b", "étude  café́ \x1c x\x1dy\x1e\x1f", "日本語テキスト 한국어 ไทย",
     "''s 'S 'll'd 'LL!!!'s..'ve've", "a b c ١٢٣ ²½ ªº", "", " \n ", "x" * 900, "ﬁ Ⅷ ǅ ẞ 'ſ", "é" * 50,
-    "<|startoftext|><|endoftext|> <|endoftext", "\U0001F600\U0001F469‍\U0001F469 x", "Don'T stop—ever…",
+    "<|startoftext|><|endoftext|> <|endoftext", "!!<|endoftext|>x's<|startoftext|>'s<|endof<|endoftext|>1", "日本語" * 15 + "\uf900語",
+    "İstanbul\u212bİİ''s" + "日" * 9, "<|ENDOFTEXT|>é<|endoftext|>e\u0301<|endoftext|>", "ΑΣİΣ<|startoftext|>ß\u1e9e",
+    "\U0001F600\U0001F469‍\U0001F469 x", "Don'T stop—ever…",
 ]
 
 
@@ -30,6 +33,17 @@ def test_every_prefix(library, text):
     assert tokens.prefix_counts(steps).tolist() == expected
 
 
+@pytest.mark.parametrize("odd", ["\uf900", "<|endoftext|>", "İ"])
+def test_long_chunks_take_time_in_proportion(library, odd):
+    text = "日本語" * 5_000 + odd + "語" * 100
+    started = time.process_time()
+    steps = counter(PATH).steps([text])[0]
+    assert time.process_time() - started < 20
+    counts = tokens.prefix_counts(steps)
+    for n in (7, 15_000, 15_001, 15_005, len(text)):
+        assert counts[n - 1] == len(library.encode(text[:n], add_special_tokens=False).ids)
+
+
 def test_digest(spark, awkward, nothing, library):
     limit = 100
     rows = tokens.token_digest(awkward, PATH, limit).collect()
