@@ -12,6 +12,7 @@ from ..operators.joins import file_detail, training_set
 from ..operators.upsert import drop_blank_target
 from ..plans.catalog import catalog
 from ..session import shared_dir
+from ..sources.ranked_table import RankedTable
 from ..sources.substring_index import SubstringIndex
 from .path_columns import FAMILY_SQL
 from .registry import FILES_SQL, SUFFIX_SQL, files, query
@@ -126,6 +127,27 @@ def _indexed(spark: SparkSession, sf_dir: str) -> SubstringIndex:
     return made
 
 
+def _ranked(spark: SparkSession, sf_dir: str) -> RankedTable:
+    """The catalog in the order of sizes, with counts by root and extension."""
+    rows = files(spark, sf_dir).select(*COLUMNS)
+    return RankedTable.create(rows, shared_dir(spark, "ranked"), q.catalog_order("size_bytes", "DESC"), ["root_path", "extension"], 200)
+
+
+@query("ranked_page_deep", f"{FILES_SQL} select {SELECT} from files order by size_bytes desc nulls last, file_name, path limit 20 offset 140")
+def ranked_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the stored order, from the blocks that hold it."""
+    return _ranked(spark, sf_dir).page(7, 20)
+
+
+@query(
+    "ranked_page_filtered",
+    f"""{FILES_SQL} select {SELECT} from files where root_path = '/srv/src0' and extension is null
+    order by size_bytes desc nulls last, file_name, path limit 5 offset 5""",
+)
+def ranked_page_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).page(1, 5, {"root_path": "/srv/src0", "extension": None})
+
+
 @query("path_search", f"{FILES_SQL} select {SELECT} from files where contains(lower(path), 'de/q2 reports/doc-1')")
 def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that hold a text, from the blocks whose posting lists allow it."""
