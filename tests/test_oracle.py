@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
-SLOW = {"train_svm", "train_gbt", "cross_validation", "model_ranking"}
+SLOW = {"train_svm", "train_gbt", "train_gbt_depthwise", "feature_importances", "cross_validation", "model_ranking"}
 
 
 @pytest.fixture(scope="module")
