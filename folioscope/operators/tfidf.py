@@ -33,6 +33,28 @@ def term_statistics(documents: DataFrame, tokens: str) -> DataFrame:
     )
 
 
+def fold_statistics(documents: DataFrame, tokens: str, fold: str) -> DataFrame:
+    """Occurrences and documents of every term in every fold, from one pass over the texts.
+
+    Like :func:`term_statistics`, with a row for each term and fold; store it and take each
+    training part from it with :func:`training_statistics`.
+    """
+    return (
+        term_counts(documents, fold, tokens)
+        .groupBy("term", fold)
+        .agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    )
+
+
+def training_statistics(by_fold: DataFrame, fold: str, held_out: object) -> DataFrame:
+    """Statistics of all documents less those of one fold; terms of that fold alone are gone."""
+    own = ~F.col(fold).eqNullSafe(F.lit(held_out))
+    totals = by_fold.groupBy("term").agg(
+        *[F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in ("cf", "df")]
+    )
+    return totals.filter(F.col("df") > 0)
+
+
 def vocabulary(
     statistics: DataFrame, documents: int, max_features: int | None = None, min_df: int = 1
 ) -> DataFrame:

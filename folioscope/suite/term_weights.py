@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tfidf
 from ..plans.catalog import texts
+from ..session import checkpointed
 from .path_columns import KEYWORDS_SQL
 from .registry import FILES_SQL, files, query
 from .text_columns import words_sql
@@ -62,3 +65,26 @@ def tfidf_path_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     weighted = tfidf.tfidf_vectors(rows, "file_id", "terms", 20_000, 1)
     return weighted.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "fold_vocabularies",
+    f"""with t as (select doc_id, unnest({words_sql('text')}) as term from documents), folds as (select unnest(range(5)) as held_out),
+    s as (select held_out, term, count(*) as cf, count(distinct doc_id) as df from folds join t on doc_id % 5 <> held_out group by 1, 2),
+    n as (select held_out, count(*) as docs from folds join documents on doc_id % 5 <> held_out group by 1)
+    select held_out::int as held_out, term, cf::bigint as cf, df,
+      round(ln((1.0::double + docs) / (1.0::double + df)) + 1.0::double, 6) as idf
+    from s join n using (held_out) where df >= 2
+    qualify row_number() over (partition by held_out order by cf desc, term) <= 200""",
+)
+def fold_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabularies of the five training parts, from terms counted once by fold."""
+    docs = texts(spark, sf_dir).select((F.col("doc_id") % 5).cast("int").alias("fold"), tfidf.terms("text").alias("terms"))
+    by_fold = checkpointed(tfidf.fold_statistics(docs, "terms", "fold"))
+    sizes = {r["fold"]: r["count"] for r in docs.groupBy("fold").count().collect()}
+    parts = []
+    for held_out in range(5):
+        rows = sum(n for fold, n in sizes.items() if fold != held_out)
+        kept = tfidf.vocabulary(tfidf.training_statistics(by_fold, "fold", held_out), rows, 200, 2)
+        parts.append(kept.select(F.lit(held_out).alias("held_out"), "term", "cf", "df", F.round("idf", 6).alias("idf")))
+    return reduce(DataFrame.unionByName, parts)
