@@ -167,7 +167,7 @@ class TreeReader(DataSourceReader):
         return [Root(r) for r in self.roots]
 
     def read(self, partition: Root) -> Iterator[pa.RecordBatch]:
-        if partition.value is None:
+        if partition is None:  # no root is left
             return iter(())
         return _batches(walk([(partition.value, os.fsencode(partition.value), 0)], self.budget, self.max_depth, self.kinds))
 
