@@ -30,6 +30,8 @@ KINDS = {
 }
 CHANGE = "changed_at bigint, seq bigint, status string, total_files bigint, total_errors bigint, error_message string"
 FIELDS = [c.split()[0] for c in CHANGE.split(", ")]
+WHOLE = {c.split()[0] for c in CHANGE.split(", ") if c.endswith(" bigint")}
+NAMES = ["root_path", "stalled", "forgotten", *(f"{kind}_{column}" for kind in KINDS for column in FIELDS)]
 REPORT = "root_path string, stalled boolean, forgotten boolean, " + ", ".join(
     f"{kind}_{column}" for kind in KINDS for column in CHANGE.split(", ")
 )
@@ -54,10 +56,8 @@ class RunTracker(StatefulProcessor):
         row = [root, stalled, forgotten]
         for kind in KINDS:
             row += held.get(kind, (None,) * len(FIELDS))
-        names = ["root_path", "stalled", "forgotten", *(f"{k}_{c}" for k in KINDS for c in FIELDS)]
-        made = pd.DataFrame([row], columns=names)
-        whole = [c for c in names if c.endswith(("_changed_at", "_seq", "_total_files", "_total_errors"))]
-        return made.astype({c: "Int64" for c in whole})
+        # One block of plain values: a frame is made for every run, and typed columns would take most of its time.
+        return pd.DataFrame([row], columns=NAMES, dtype=object)
 
     def _set_timer(self, held: dict[str, tuple], now: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -68,8 +68,8 @@ class RunTracker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, changed = self._held(), set()
         for batch in rows:
-            for change in batch[FIELDS].astype(object).where(batch[FIELDS].notna(), None).itertuples(index=False):
-                plain = tuple(int(v) if c in ("changed_at", "seq", "total_files", "total_errors") and v is not None else v for c, v in zip(FIELDS, change))
+            for change in zip(*(batch[c].tolist() for c in FIELDS)):
+                plain = tuple(None if v is None or v != v else int(v) if c in WHOLE else v for c, v in zip(FIELDS, change))
                 for kind, statuses in KINDS.items():
                     if plain[2] in statuses and (kind not in held or plain[:2] > held[kind][:2]):
                         held[kind] = plain
