@@ -7,7 +7,8 @@ import xxhash
 
 from .common import bounded, worker_cache
 
-WORDS_KEPT = 400_000
+# About 200 bytes each, in every worker.
+WORDS_KEPT = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SHORT = np.uint64(0xD6E8FEB86659FD93)
 

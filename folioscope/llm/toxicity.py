@@ -37,7 +37,7 @@ FIT_ROWS = 20_000
 #: Most features that the classifier sees, and least texts that hold one.
 FEATURES, LEAST_TEXTS = 4_096, 5
 #: Bytes of features of words that a worker keeps.
-BYTES_KEPT = 100_000_000
+BYTES_KEPT = 60_000_000
 # Letters with a place of their own in the character model; all others share the last.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 WIDTH = 64
