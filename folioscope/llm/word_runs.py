@@ -6,8 +6,10 @@ each ``LEAST`` words in a row of it stand in another text too. Found in two step
 1. Anchors by winnowing: of the hashes of ``GRAM`` words that lie within ``LEAST``
    words the lowest is an anchor. So equal stretches have an equal anchor, wherever
    they stand and whatever surrounds them.
-2. Around anchors that several texts have, every stretch of ``LEAST`` words is
-   hashed and looked up. Those that follow one another are one run, of full length.
+2. Every stretch of ``LEAST`` words belongs to one anchor, its lowest, wherever it stands. Where
+   several texts have that, the stretches of each are one row, looked up among those of the same
+   anchor; those that follow one another are one run, of full length. Anchors that very many
+   texts have are looked up stretch by stretch.
 
 The first text that has a stretch, by document and place, keeps it; runs of
 stretches that stay and of those that go are rows of their own. Rows with equal
@@ -19,8 +21,10 @@ and kana, which have no blanks between them, are a word each. A NULL ``doc_id``
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +34,21 @@ from .shingles import lower_words, windows, word_hashes
 LEAST, GRAM = 50, 12
 SPAN = LEAST - GRAM + 1
 LAST = 2**63 - 1
+#: Places of an anchor that one task looks at together, and words that are hashed together.
+MOST_PLACES, WORDS_AT_ONCE = 50_000, 200_000
 # U+3000 to U+9FFF in UTF-8.
 UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}")
 
 
 def _words(text: bytes) -> list[bytes]:
-    return lower_words(UNSPACED.sub(rb" \g<0> ", text))
+    return lower_words(text if text.isascii() else UNSPACED.sub(rb" \g<0> ", text))
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of at least ``LEAST`` words."""
+    """For every ``LEAST`` words in a row the place of their anchor, and the hashes by place."""
     grams = windows(hashes, GRAM)
     lowest = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1)
-    at = np.unique(lowest + np.arange(len(lowest)))
-    return at, grams[at]
+    return lowest + np.arange(len(lowest)), grams
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -59,43 +64,146 @@ def _anchored(documents: DataFrame) -> DataFrame:
 
     def work(columns: list[list]) -> list[list]:
         out: list[list] = [[] for _ in range(5)]
+        held: list[tuple[int, int, int]] = []
+        together: list[bytes] = []
+
+        def flush() -> None:
+            # Texts are hashed together; what would reach from one into the next isn't looked at.
+            if not held:
+                return
+            own, grams = anchors(word_hashes(together))
+            start = 0
+            for doc, node, many in held:
+                at = own[start : start + many - LEAST + 1]
+                at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+                for to, x in zip(out, (doc, node, many, (at - start).astype(np.int32), grams[at].view(np.int64))):
+                    to.append(x)
+                start += many
+            held.clear()
+            together.clear()
+
         for doc, node, text in zip(*columns):
             words = _words(text)
             if len(words) >= LEAST:
-                at, grams = anchors(word_hashes(words))
-                for to, x in zip(out, (doc, node, len(words), at, grams.view(np.int64))):
-                    to.append(x)
+                held.append((doc, node, len(words)))
+                together.extend(words)
+                if len(together) >= WORDS_AT_ONCE:
+                    flush()
+        flush()
         return out
 
     return map_slices(_rows(documents), work, "doc bigint, node bigint, n_words int, places array<int>, grams array<bigint>")
 
 
-def _stretches(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every ``LEAST`` words in a row that hold one of the wanted anchors."""
+def _pieces(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row for each wanted place of an anchor: its stretches, which follow one another, with their hashes and lines."""
 
     def work(columns: list[list]) -> list[list]:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for doc, node, rows, places, text in zip(*columns):
-            hashes = windows(word_hashes(_words(text)), LEAST)
-            near = np.array(places)[:, None] + np.arange(GRAM - LEAST, 1)
-            starts = np.unique(near[(near >= 0) & (near < len(hashes))])
-            lines = np.repeat(*_counted(text))[starts]
-            for to, x in zip(out, ([doc], [node], [rows])):
-                to += x * len(starts)
-            for to, x in zip(out[3:], (lines, starts, hashes[starts].view(np.int64))):
-                to += x.tolist()
+            lines = [_words(line) for line in text.split(b"\n")]
+            hashes = word_hashes([w for line in lines for w in line])
+            own, grams = anchors(hashes)
+            line = np.repeat(np.arange(len(lines), dtype=np.int32), [len(x) for x in lines])
+            stretches = windows(hashes, LEAST)
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            wished = set(places)
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(own)]):
+                if (at := int(own[a])) in wished:
+                    made = (grams[at].view(np.int64).item(), doc, node, rows, a, stretches[a:b].tobytes(), line[a:b].tobytes())
+                    for to, x in zip(out, made):
+                        to.append(x)
         return out
 
     own = _rows(documents).join(wanted, ["doc", "node"]).dropDuplicates(["doc", "node"])
     return map_slices(
         own.select("doc", "node", "rows", "places", "text"), work,
-        "doc bigint, node bigint, rows bigint, line int, word int, hash bigint",
+        "gram bigint, doc bigint, node bigint, rows bigint, word int, hashes binary, lines binary",
     )
 
 
-def _counted(text: bytes) -> tuple[np.ndarray, list[int]]:
-    counts = [len(_words(line)) for line in text.split(b"\n")]
-    return np.arange(len(counts)), counts
+SEGMENT = "doc bigint, node bigint, removed boolean, word int, end int, line int, hash bigint, copies bigint, first_doc bigint, first_line int"
+
+
+def _segments(pieces: DataFrame) -> DataFrame:
+    """Stretches of a piece that other texts have too: those that follow one another and all stay or all go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams = batch.column(0).to_numpy()
+            # The last anchor of a batch may go on in the next one.
+            border = int(np.searchsorted(grams, grams[-1]))
+            if border or held and held[-1].column(0)[-1].as_py() != grams[0]:
+                yield _looked_up([*held, batch.slice(0, border)])
+                held = []
+            held.append(batch.slice(border))
+        if held:
+            yield _looked_up(held)
+
+    return pieces.repartition("gram").sortWithinPartitions("gram", "doc", "node", "word").mapInArrow(run, SEGMENT)
+
+
+def _looked_up(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Segments of whole anchors, whose pieces come by document, text and word."""
+    doc, node, rows, word = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (1, 2, 3, 4))
+    raw, lines = ([x for h in held for x in h.column(i).to_pylist()] for i in (5, 6))
+    many = np.array([len(x) // 8 for x in raw], np.int64)
+    hashes, line = np.frombuffer(b"".join(raw), np.int64), np.frombuffer(b"".join(lines), np.int32)
+    piece = np.repeat(np.arange(len(many)), many)
+    at = word[piece] + np.arange(len(piece)) - (np.cumsum(many) - many)[piece]
+    # Equal stretches stay in order, so the first of them is the one that keeps them.
+    order = np.argsort(hashes, kind="stable")
+    heads = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+    sizes = np.diff(heads, append=len(order))
+    owners = node[piece[order]]
+    known, first, copies = np.empty(len(order), bool), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    known[order] = np.repeat(np.minimum.reduceat(owners, heads) < np.maximum.reduceat(owners, heads), sizes)
+    first[order] = np.repeat(order[heads], sizes)
+    copies[order] = np.repeat(np.add.reduceat(rows[piece[order]], heads), sizes)
+    removed = first != np.arange(len(order))
+    state = piece * 4 + known * 2 + (known & removed)
+    begin = np.flatnonzero(np.diff(state, prepend=-1))
+    end = np.append(begin[1:], len(order)) - 1
+    most = np.maximum.reduceat(copies, begin)
+    kept = known[begin]
+    begin, end, most = begin[kept], end[kept], most[kept]
+    own, other = piece[begin], first[begin]
+    found = (
+        doc[own], node[own], removed[begin], at[begin].astype(np.int32), at[end].astype(np.int32), line[begin],
+        hashes[begin], most, doc[piece[other]], line[other],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[x.split()[0] for x in SEGMENT.split(", ")])
+
+
+def _single_segments(pieces: DataFrame) -> DataFrame:
+    """Like :func:`_segments`, a row for each stretch, with nothing of an anchor together in a task."""
+
+    def work(columns: list[list]) -> list[list]:
+        out: list[list] = [[] for _ in range(6)]
+        for doc, node, rows, word, hashes, lines in zip(*columns):
+            own = np.frombuffer(hashes, np.int64).tolist()
+            for to, x in zip(out, ([doc], [node], [rows])):
+                to += x * len(own)
+            for to, x in zip(out[3:], (range(word, word + len(own)), np.frombuffer(lines, np.int32).tolist(), own)):
+                to += x
+        return out
+
+    stretches = written(map_slices(
+        pieces.select("doc", "node", "rows", "word", "hashes", "lines"), work,
+        "doc bigint, node bigint, rows bigint, word int, line int, hash bigint",
+    ), "stretches")
+    known = stretches.groupBy("hash").agg(
+        F.min("node").alias("low"), F.max("node").alias("most"), F.sum("rows").alias("copies"),
+        F.min(F.struct("doc", "node", "word", "line")).alias("first"),
+    ).filter("low < most").select("hash", "copies", "first")
+    return stretches.join(known, "hash").select(
+        "doc", "node", (F.struct("doc", "node", "word", "line") != F.col("first")).alias("removed"), "word",
+        F.col("word").alias("end"), "line", "hash", "copies", F.col("first.doc").alias("first_doc"),
+        F.col("first.line").alias("first_line"),
+    )
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -105,27 +213,31 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     places = texts.join(first.select("node", "doc", "rows"), ["node", "doc"]).select(
         "node", "doc", "rows", F.explode(F.arrays_zip("places", "grams")).alias("x")
     ).select("node", "doc", "rows", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
-    shared = places.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("most")).filter("low < most")
-    wanted = places.join(shared.select("gram"), "gram").groupBy("doc", "node").agg(
-        F.max("rows").alias("rows"), F.collect_set("place").alias("places")
-    )
-    stretches = written(_stretches(documents, wanted), "stretches")
-    known = stretches.groupBy("hash").agg(
-        F.min("node").alias("low"), F.max("node").alias("most"), F.sum("rows").alias("copies"),
-        F.min(F.struct("doc", "node", "word", "line")).alias("first"),
-    ).filter("low < most").select("hash", "copies", "first")
-    found = stretches.join(known, "hash").withColumn(
-        "removed", F.struct("doc", "node", "word", "line") != F.col("first")
-    )
+    shared = cut(places.groupBy("gram").agg(
+        F.min("node").alias("low"), F.max("node").alias("most"), F.count("*").alias("places")
+    ).filter("low < most").select("gram", "places"))
+
+    def pieces(grams: DataFrame) -> DataFrame:
+        wanted = places.join(grams.select("gram"), "gram").groupBy("doc", "node").agg(
+            F.max("rows").alias("rows"), F.collect_set("place").alias("places")
+        )
+        return _pieces(documents, wanted)
+
+    often = shared.filter(F.col("places") > MOST_PLACES)
+    found = _segments(pieces(shared.filter(F.col("places") <= MOST_PLACES)))
+    if often.take(1):
+        found = found.unionByName(_single_segments(pieces(often)))
+    found = written(found, "segments")
     own = Window.partitionBy("node", "removed").orderBy("word")
-    runs = found.withColumn("run", F.col("word") - F.row_number().over(own)).groupBy("doc", "node", "removed", "run").agg(
-        F.min(F.struct("word", "line", "hash", "first")).alias("begin"), F.max("word").alias("end"),
+    begins = F.coalesce(F.col("word") != F.lag("end").over(own) + 1, F.lit(True)).cast("int")
+    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own)).groupBy("doc", "node", "removed", "run").agg(
+        F.min(F.struct("word", "line", "hash", "first_doc", "first_line")).alias("begin"), F.max("end").alias("end"),
         F.max("copies").alias("copies"),
     )
     inside = runs.select(
         "doc", F.col("begin.line").alias("line"), F.col("begin.word").alias("word"),
         (F.col("end") + LEAST - F.col("begin.word")).cast("int").alias("n_words"), F.col("begin.hash").alias("cluster"),
-        "copies", F.col("begin.first.doc").alias("first"), F.col("begin.first.line").alias("first_line"), "removed",
+        "copies", F.col("begin.first_doc").alias("first"), F.col("begin.first_line").alias("first_line"), "removed",
     )
     several = first.filter("doc < high").select("node", F.col("doc").alias("first"), "rows")
     equal = texts.join(several, "node").select(

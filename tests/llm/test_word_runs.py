@@ -69,3 +69,25 @@ def test_scripts_without_blanks(spark):
     rows = [(i, f"{a}{passage}\n{b}", "ja", "s", 0) for i, (a, b) in enumerate([("日本", "語"), ("かな ", "x"), ("", "y z")])]
     got = word_runs.repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.doc_id, r.word, r.n_words, r.removed) for r in got} == {(0, 2, 60, False), (1, 2, 60, True), (2, 0, 60, True)}
+
+
+def rows_of(df):
+    return sorted(map(tuple, word_runs.repeated_runs(df).collect()), key=str)
+
+
+def test_a_row_holds_many_stretches_of_near_copies(spark, monkeypatch):
+    base = broken(invented(7, 400), 9)
+    texts = [base, *(f"{base[: 300 + 40 * i]} changed{i} {base[300 + 40 * i :]}\n{broken(invented(50 + i, 30), 7)}" for i in range(6)), "z " * 300, "z " * 200]
+    df = spark.createDataFrame([(i if i != 3 else None, t, "en", "s", 0) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s", 0)], SCHEMA)
+    seen = []
+    written = word_runs.written
+    monkeypatch.setattr(word_runs, "written", lambda d, purpose: (seen.append((purpose, written(d, purpose))), seen[-1][1])[1])
+    whole = rows_of(df)
+    stored = {purpose: made.count() for purpose, made in seen}
+    assert "stretches" not in stored and stored["segments"] < 250 * len(texts) / 4
+    # The exact way for anchors of very many texts finds the same, also one anchor by one.
+    monkeypatch.setattr(word_runs, "MOST_PLACES", 0)
+    assert rows_of(df) == whole
+    monkeypatch.setattr(word_runs, "MOST_PLACES", 6)
+    monkeypatch.setattr(word_runs, "WORDS_AT_ONCE", 1)
+    assert rows_of(df) == whole
