@@ -56,7 +56,8 @@ BANDS, ROWS = tuned_bands(PERCENT / 100, RECALL)
 
 
 def _node(words: list[bytes]) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).astype(np.int64))
+    x = xxhash.xxh64_intdigest(b" ".join(words))
+    return x if x < 2**63 else x - 2**64
 
 
 def _lines(text: bytes | None) -> list[tuple[int, list[bytes]]]:

@@ -5,10 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import bounded, worker_cache
+from .common import worker_cache
 
-# About 200 bytes each, in every worker.
-WORDS_KEPT = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SHORT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -19,11 +17,9 @@ def lower_words(text: bytes | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    known = bounded(worker_cache("word_hashes"), WORDS_KEPT)
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.array(list(map(known.__getitem__, words)), np.uint64)
+    """A 64-bit hash for each word; hashing one again takes less time than looking it up."""
+    worker_cache("word_hashes")  # nothing is kept, but what another operator learned makes room
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

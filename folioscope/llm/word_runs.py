@@ -35,7 +35,7 @@ LEAST, GRAM = 50, 12
 SPAN = LEAST - GRAM + 1
 LAST = 2**63 - 1
 #: Places of an anchor that one task looks at together, and words that are hashed together.
-MOST_PLACES, WORDS_AT_ONCE = 50_000, 200_000
+MOST_PLACES, WORDS_AT_ONCE = 50_000, 20_000
 # U+3000 to U+9FFF in UTF-8.
 UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}")
 
@@ -44,11 +44,22 @@ def _words(text: bytes) -> list[bytes]:
     return lower_words(text if text.isascii() else UNSPACED.sub(rb" \g<0> ", text))
 
 
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """The first place of the lowest of each ``width`` values in a row."""
+    at, low, span = np.arange(len(values)), values, 1
+    while span < width:
+        # Two shorter stretches, which may overlap, make a longer one.
+        step = min(span, width - span)
+        left = low[:-step] <= low[step:]
+        low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+        span += step
+    return at
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every ``LEAST`` words in a row the place of their anchor, and the hashes by place."""
     grams = windows(hashes, GRAM)
-    lowest = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1)
-    return lowest + np.arange(len(lowest)), grams
+    return lowest(grams, SPAN), grams
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -100,19 +111,36 @@ def _pieces(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def work(columns: list[list]) -> list[list]:
         out: list[list] = [[] for _ in range(7)]
-        for doc, node, rows, places, text in zip(*columns):
-            lines = [_words(line) for line in text.split(b"\n")]
-            hashes = word_hashes([w for line in lines for w in line])
-            own, grams = anchors(hashes)
-            line = np.repeat(np.arange(len(lines), dtype=np.int32), [len(x) for x in lines])
-            stretches = windows(hashes, LEAST)
-            heads = np.flatnonzero(np.diff(own, prepend=-1))
-            wished = set(places)
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(own)]):
-                if (at := int(own[a])) in wished:
-                    made = (grams[at].view(np.int64).item(), doc, node, rows, a, stretches[a:b].tobytes(), line[a:b].tobytes())
+        held: list[tuple] = []
+        together: list[bytes] = []
+
+        def flush() -> None:
+            if not held:
+                return
+            hashes = word_hashes(together)
+            (own, grams), stretches = anchors(hashes), windows(hashes, LEAST)
+            grams, start = grams.view(np.int64), 0
+            for doc, node, rows, places, counts in held:
+                line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                at = own[start : start + len(line) - LEAST + 1]
+                heads = np.flatnonzero(np.diff(at, prepend=-1))
+                wished = np.flatnonzero(np.isin(at[heads] - start, places))
+                for a, b in zip(heads[wished].tolist(), np.append(heads, len(at))[wished + 1].tolist()):
+                    made = (int(grams[at[a]]), doc, node, rows, a, stretches[start + a : start + b].tobytes(), line[a:b].tobytes())
                     for to, x in zip(out, made):
                         to.append(x)
+                start += len(line)
+            held.clear()
+            together.clear()
+
+        for doc, node, rows, places, text in zip(*columns):
+            lines = [_words(line) for line in text.split(b"\n")]
+            held.append((doc, node, rows, places, [len(x) for x in lines]))
+            for line in lines:
+                together.extend(line)
+            if len(together) >= WORDS_AT_ONCE:
+                flush()
+        flush()
         return out
 
     own = _rows(documents).join(wanted, ["doc", "node"]).dropDuplicates(["doc", "node"])

@@ -1,5 +1,6 @@
 """Shared runs of words against every window of 50 words."""
 
+import numpy as np
 from helpers import SCHEMA, invented, words
 
 from folioscope.llm import queries, word_runs
@@ -91,3 +92,9 @@ def test_a_row_holds_many_stretches_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(word_runs, "MOST_PLACES", 6)
     monkeypatch.setattr(word_runs, "WORDS_AT_ONCE", 1)
     assert rows_of(df) == whole
+
+
+def test_lowest():
+    values = np.random.default_rng(4).integers(0, 5, 300).astype(np.uint64)
+    for width in (1, 2, 8, 38, 39, 300):
+        assert word_runs.lowest(values, width).tolist() == [i + min(range(width), key=lambda j: (values[i + j], j)) for i in range(301 - width)]  # noqa: B023
